@@ -54,10 +54,10 @@ def width(spark: SparkSession) -> int:
 # ---------------------------------------------------------------- words
 
 _RNG = np.random.default_rng(20240229)
-_POW = _RNG.integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
+POW = _RNG.integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
 _STEP = _RNG.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z hash as a-z
+BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
+BYTE[65:91] = BYTE[97:123]  # A-Z hash as a-z
 _U33, _U29 = np.uint64(33), np.uint64(29)
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -85,7 +85,7 @@ def _hash_block(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     at = np.arange(len(buf)) - np.repeat(start, np.diff(np.append(start, len(buf)))) if start[0] == 0 else None
     if at is None:
         at = np.arange(len(buf)) - np.repeat(np.append(0, start), np.diff(np.concatenate(([0], start, [len(buf)]))))
-    value = _BYTE[buf] * _POW[at & 4095] * inside
+    value = BYTE[buf] * POW[at & 4095] * inside
     if at.max() > 4095:
         value *= (at >> 12).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     h = np.add.reduceat(value, start)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import packing, sharding
+from . import packing, secrets, sharding, toxicity
 
 
 def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,26 @@ def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(C.read(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), "spans")
+    base = [r.kind for r in secrets.RULES[:3]]
+    as_text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in base]
+    own = F.filter("spans", lambda x: x["ord"] < len(base))
+    return found.select("doc_id", *counts, F.sha2(as_text(own), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+
+
+def held_out(key: str = "doc_id"):
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+
+
+def op8_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~held_out()))
+    out = toxicity.score(docs, model)
+    return out.select(F.col("key").alias("doc_id"), held_out("key").alias("held_out"), "score", F.col("toxic").cast("int").alias("predicted"))
+
+
 def op10_histogram_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     if tokenizer is None:
         import public_tokenizers
