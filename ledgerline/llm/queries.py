@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import packing, secrets, sharding, toxicity
+from . import licenses, packing, secrets, sharding, toxicity
 
 
 def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,13 @@ def op3_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(as_text(own), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
 
 
+def op6_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(C.read(spark, sf_dir, "documents"))
+    return out.select(
+        F.col("key").alias("doc_id"), "n_words", F.col("n_exact").alias("n_base"), "first_word", "last_word", F.col("exact_labels").alias("base_labels"), "labels", "score"
+    )
+
+
 def held_out(key: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
