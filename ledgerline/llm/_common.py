@@ -139,19 +139,18 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large-star and small-star rounds: each node hands its smallest neighbour on until every edge points at its
     component's smallest node. Minima are pre-aggregated, so a hub costs one row a task; edges never leave the
-    executors, and each round is checkpointed.
+    executors. Each round's tables are written, which cuts lineage and leaves joins whose hot keys Spark can split.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    edges = edges.checkpoint()
-    before = None
+    edges, before = materialise(edges, "edges"), None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialise(large.where("u != v").distinct(), "large")
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        edges = small.union(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        edges = materialise(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
