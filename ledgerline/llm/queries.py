@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import licenses, minhash, packing, secrets, sharding, toxicity
+from . import decontaminate, licenses, minhash, packing, secrets, sharding, toxicity
 
 
 def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_wand_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.leaks(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "benchmark"))
+    return out.withColumnsRenamed({"key": "doc_id", "item": "item_id"})
+
+
 def op3_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(C.read(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), "spans")
     base = [r.kind for r in secrets.RULES[:3]]
