@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import decontaminate, licenses, minhash, packing, secrets, sharding, toxicity
+from . import decontaminate, embeddings, licenses, minhash, packing, secrets, sharding, toxicity
 
 
 def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op3_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(as_text(own), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
 
 
+def op4_quantised_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embeddings.near_duplicates(C.read(spark, sf_dir, "embeddings"))
+    return out.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op5_bayesian_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash.near_duplicates(C.read(spark, sf_dir, "documents"), s=minhash.Settings(shingle=2))
     return out.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
