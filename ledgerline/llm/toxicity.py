@@ -279,3 +279,20 @@ def score(docs: DataFrame, m: Model, key: str = "doc_id", text: str = "text") ->
                 )
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, language string, logit double, score double, toxic boolean")
+
+
+def without_toxic(docs: DataFrame, m: Model, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores under 0.5. No shuffle: each row is judged where it is read."""
+    C.small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        table = m.table()
+        for batch in batches:
+            for part, texts in C.blocks(batch, text):
+                ids, h, first = features(texts, m.settings.buckets)
+                by = np.array([m.thresholds.get(x, m.thresholds[""]) for x in languages(h, first)])
+                yield part.filter(pa.array(logits(m, table[ids], first) < by, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
