@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import decontaminate, embeddings, licenses, minhash, packing, secrets, sharding, toxicity
+from . import decontaminate, embeddings, licenses, minhash, packing, secrets, sharding, token_counts, toxicity
 
 
 def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +50,29 @@ def op6_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_rollup(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
+    """Documents are loaded in batches with a rough count (a quarter of their bytes), then revised to the tokenizer's, and
+    those without a token are deleted; a batch is committed twice. The totals are the tokenizer's over all documents."""
+    import public_tokenizers as P
+
+    version = "byte_bpe_50k"
+    docs = C.read(spark, sf_dir, "documents")
+    exact = token_counts.counts(docs, token_counts.byte_bpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), version)
+    size = docs.select(
+        F.col("doc_id").alias("key"), "source", F.col("lang").alias("language"), F.lit(version).alias("version"), F.expr("cast(coalesce(octet_length(text), 0) div 4 as long)").alias("tokens")
+    )
+    rough, exact = C.materialise(size, "rough-counts"), C.materialise(exact, "exact-counts")
+    store = token_counts.Rollup(spark, f"{C.scratch_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    part = F.coalesce(F.pmod(F.xxhash64("key"), F.lit(batches)), F.lit(0))
+    for i in range(batches):
+        store.commit(f"load-{i}", token_counts.signed(rough.where(part == i), 1))
+    store.compact()
+    store.commit("revise", token_counts.revised(rough, exact))
+    store.commit("load-0", token_counts.signed(rough.where(part == 0), 1))
+    store.commit("empty", token_counts.signed(exact.where("tokens = 0"), -1))
+    return store.totals().select("source", F.col("language").alias("lang"), F.col("version").alias("tokenizer_version"), "docs", "tokens")
+
+
 def held_out(key: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
