@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import decontaminate, embeddings, licenses, minhash, packing, secrets, sharding, token_counts, toxicity
+from . import decontaminate, embeddings, licenses, minhash, packing, secrets, sharding, substrings, token_counts, toxicity
 
 
 def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,13 @@ def op8_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), held_out("key").alias("held_out"), "score", F.col("toxic").cast("int").alias("predicted"))
 
 
+def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.repeats(C.read(spark, sf_dir, "documents"))
+    return out.select(
+        F.col("key").alias("doc_id"), F.col("begin").alias("first_word"), F.col("end").alias("end_word"), F.col("first").alias("first_doc_id"), "similarity", "kept"
+    )
+
+
 def op10_histogram_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     if tokenizer is None:
         import public_tokenizers
