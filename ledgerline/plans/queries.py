@@ -1,7 +1,282 @@
-"""Registered queries of the engine."""
+"""Registered queries: each operator of the engine over the driver's tables.
+
+Those tables hold no news, so an article view is laid over documents, pages and events, and the word lists are frequent
+words of the texts. The operators are the same.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import Config
+from ..functions import text as T
+from ..functions.similarity import cosine_pairs, fuzzy_pairs, tfidf
+from ..operators import clustering, dedupe, scoring
+from ..operators.brief import brief_order, top_categories
+from ..operators.cleaning import apply_cleaning
+from ..sources.sinks import cells, clusters_flat, evidence, rejected_or_duplicate, search
+from ..streaming.articles import windowed_counts
+
+#: Word lists and weights for the driver's texts.
+DEMO = Config(
+    strong=("with", "ver mit"), soft=("from", "raises"), fmcg=("this", "las de"), categories=(("by", "By"), ("was", "Was"), ("das", "Das"), ("les", "Les")),
+    watchlist=("for", "pour"), earnings=("are",), launch=("is",), market=("that",), transaction=("as",), off_topic=("src3",), service=("be",), funding_context=("on",),
+    targeted=("en", "fr"), keyed_queries=(),
+)
+DEAL_TYPES = (("merger", ("with", "this")), ("funding", ("from",)), ("stake", ("les", "das")))
+
+
+def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{table}.parquet")
+
+
+def _ts(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("timestamp") for n in names})
+
+
+def articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as raw articles: first line and text, the page's address and the event's time where ids agree."""
+    docs, pages, events = (_read(spark, sf, t) for t in ("documents", "pages", "events"))
+    last = events.agg(F.max("ts").cast("timestamp").alias("retrieved_at"))
+    when = events.select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("published_at"))
+    rows = docs.join(pages.select(F.col("page_id").alias("doc_id"), "url"), "doc_id", "left").join(when, "doc_id", "left").crossJoin(F.broadcast(last))  # last is one row
+    return rows.select(
+        F.col("doc_id").cast("string").alias("article_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("snippet"), F.coalesce("url", F.lit("")).alias("url"),
+        F.col("source").alias("source_name"), F.lit("").alias("domain"), "published_at", "retrieved_at", F.concat(F.lit("api_"), "lang").alias("source_api"), F.col("lang").alias("query"),
+        (F.col("doc_id") % 2 == 0).alias("is_sample"), F.col("doc_id").alias("row_idx"),
+    )
+
+
+def page_articles(spark: SparkSession, sf: str) -> DataFrame:
+    pages, events = _read(spark, sf, "pages"), _read(spark, sf, "events")
+    when = events.select(F.col("event_id").alias("page_id"), F.col("ts").cast("timestamp").alias("published_at"))
+    return pages.join(when, "page_id", "left").select(
+        F.col("page_id").cast("string").alias("article_id"), F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"), F.col("html").alias("snippet"), "url",
+        F.lit("page").alias("source_name"), F.lit("").alias("domain"), "published_at", F.lit(None).cast("timestamp").alias("retrieved_at"), F.lit("pages").alias("source_api"),
+        F.lit("").alias("query"), F.lit(False).alias("is_sample"), F.col("page_id").alias("row_idx"),
+    )
+
+
+def deal_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship: articles cleaned, flagged, scored and grouped into events."""
+    done = scoring.score_articles(dedupe.dedupe(apply_cleaning(page_articles(spark, sf)), DEMO), DEMO)
+    _, records = clustering.cluster_deals(done.withColumn("status", F.lit("include")), DEMO)
+    return brief_order(records).withColumn("sources", F.size("sources"))
+
+
+def url_canonical(spark, sf):
+    return _read(spark, sf, "pages").select("page_id", T.canonical_url("url").alias("canonical_url"))
+
+
+def url_domain(spark, sf):
+    return _read(spark, sf, "pages").select("page_id", T.registered_domain("url").alias("domain"))
+
+
+def title_normalize(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", T.normalized_title(F.substring_index("text", "\n", 1)).alias("normalized_title"))
+
+
+def title_display(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", T.display_title(F.concat(F.substring("text", 1, 30), F.lit(" | "), "source")).alias("display_title"))
+
+
+def snippet_clean(spark, sf):
+    return _read(spark, sf, "pages").select("page_id", T.clean_snippet("html").alias("snippet"))
+
+
+def accent_fold(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", F.md5(T.accent_fold(F.regexp_replace("text", r"[^\x00-\x7FÀ-ÖØ-öù-ÿñ]", ""))).alias("folded_md5"))
+
+
+def word_counts(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", T.word_count(F.regexp_replace("text", r"[^\x00-\x7F]", " ")).alias("n_words"))
+
+
+def lookback_filter(spark, sf):
+    e = _read(spark, sf, "events")
+    now = e.agg(F.max("ts").alias("now"))
+    rows = e.crossJoin(F.broadcast(now))  # now is one row
+    return rows.where((F.col("ts") >= F.col("now") - F.expr("interval 7 days")) & (F.col("ts") <= F.col("now") + F.expr("interval 1 day"))).select("event_id", "event_type")
+
+
+def dedupe_exact_url(spark, sf):
+    out = dedupe.exact_url(dedupe.fresh(apply_cleaning(page_articles(spark, sf))))
+    return out.select("article_id", "dedupe_status", "dedupe_reason", "duplicate_of")
+
+
+def dedupe_exact_title(spark, sf):
+    out = dedupe.exact_title(dedupe.fresh(apply_cleaning(articles(spark, sf))))
+    return out.select("article_id", "dedupe_status", "dedupe_reason", "duplicate_of")
+
+
+def dedupe_fuzzy_title(spark, sf):
+    out = dedupe.fuzzy_title(dedupe.fresh(apply_cleaning(page_articles(spark, sf))))
+    return out.select("article_id", "dedupe_status", "dedupe_reason", "duplicate_of")
+
+
+def dedupe_similar_text(spark, sf):
+    out = dedupe.similar_text(dedupe.fresh(apply_cleaning(articles(spark, sf))))
+    return out.select("article_id", "dedupe_status", "dedupe_reason", "duplicate_of")
+
+
+def dedupe_all(spark, sf):
+    out = dedupe.dedupe(apply_cleaning(page_articles(spark, sf)))
+    return out.select("article_id", "dedupe_status", "dedupe_reason", "duplicate_of")
+
+
+def fuzzy_title_pairs(spark, sf):
+    return fuzzy_pairs(apply_cleaning(page_articles(spark, sf)), 90.0, 14)
+
+
+def relevance(spark, sf):
+    out = scoring.score_relevance(articles(spark, sf), DEMO)
+    return out.select("article_id", "relevance_score", F.array_join("relevance_reasons", ",").alias("reasons"), "status")
+
+
+def credibility(spark, sf):
+    a = articles(spark, sf)
+    named = {"src0": "Reuters", "src1": "  food dive ", "src2": "GlobeNewswire"}
+    name = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in named.items() for x in kv)), F.col("source_name")), "source_name")
+    dom = F.when(F.col("row_idx") % 7 == 0, "bbc.com").when(F.col("row_idx") % 7 == 1, "businesswire.com").otherwise("")
+    out = scoring.score_credibility(a.withColumns({"source_name": name, "domain": dom}))
+    return out.select("article_id", "credibility_score", "credibility_tier", F.array_join("credibility_reasons", ",").alias("reasons"))
+
+
+def group_credibility(spark, sf):
+    """Orders of a customer as articles of an event: prices for scores, clerks' days for sources."""
+    o = _read(spark, sf, "orders")
+    g = o.groupBy("o_custkey").agg(
+        F.collect_list((F.col("o_orderkey") % 61 + 35).cast("double")).alias("s"), F.collect_list(F.concat(F.lit("k"), F.col("o_orderkey") % 4)).alias("k"), F.collect_list(F.concat(F.lit("tier_"), F.col("o_orderkey") % 4 + 1)).alias("t")
+    )
+    return g.select("o_custkey", scoring.cluster_credibility(F.col("s"), F.col("k"), F.col("t")).alias("credibility"))
+
+
+def confidence_labels(spark, sf):
+    o = _read(spark, sf, "orders")
+    n = F.col("o_orderkey")
+    return o.select("o_orderkey", scoring.confidence(n % 101, n * 7 % 101, n % 3 + 1, n % 5 == 0).alias("confidence"))
+
+
+def detect_deal_type(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", T.deal_type(F.lower("text"), DEAL_TYPES).alias("deal_type"))
+
+
+def detect_category(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", T.category(F.lower("text"), DEMO.categories).alias("category"))
+
+
+def detect_geography(spark, sf):
+    place = F.element_at(F.array(*(F.lit(x) for x in ("in the US.", "the U.S. said", "us only", "Latin America", "South Korea and EU", "nowhere"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return _read(spark, sf, "orders").select("o_orderkey", T.geography(place).alias("geography"))
+
+
+def extract_value(spark, sf):
+    n = F.col("o_orderkey")
+    one = F.element_at(F.array(F.concat(F.lit("worth $"), n, F.lit(" million today")), F.concat(F.lit("about "), n, F.lit(" crore")), F.concat(F.lit("USD "), n, F.lit(" paid")), F.lit("no figure")), (n % 4 + 1).cast("int"))
+    return _read(spark, sf, "orders").select("o_orderkey", T.deal_value(F.array(F.lit("first text"), one)).alias("deal_value"))
+
+
+def extract_companies(spark, sf):
+    names = T.companies(F.concat(F.lit("Unilever and "), F.initcap(F.substring_index("p_name", " ", 2)), F.lit(" Says New Deal - Wire")), "p_name")
+    return _read(spark, sf, "part").select("p_partkey", F.array_join(names, "|").alias("companies"))
+
+
+def best_turn(spark, sf):
+    """The best row of a group, ties by order: the longest turn of each conversation."""
+    c = _read(spark, sf, "conversations")
+    best = c.groupBy("conv_id").agg(F.min(F.struct((-F.length("text")).alias("a"), F.col("turn").alias("t"), F.col("role").alias("r"))).alias("b"))
+    return best.select("conv_id", F.col("b.t").alias("turn"), F.col("b.r").alias("role"))
+
+
+def ordered_roles(spark, sf):
+    c = _read(spark, sf, "conversations")
+    return c.groupBy("conv_id").agg(F.array_join(F.expr("transform(array_sort(collect_list(struct(turn, role))), x -> x.role)"), ",").alias("roles"))
+
+
+def source_counts(spark, sf):
+    return _read(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("n_en"), F.bool_and(F.col("n_chars") > 10).alias("all_long"))
+
+
+def top_three(spark, sf):
+    d = _read(spark, sf, "documents").select(F.col("source").alias("category"), F.format_string("C%09d", "doc_id").alias("cluster_id"))
+    return top_categories(d).select("category", "n")
+
+
+def latest_span(spark, sf):
+    e = _read(spark, sf, "events")
+    return e.groupBy("user_id").agg(F.min("ts").alias("earliest"), F.max("ts").alias("latest"), F.count("*").alias("n"))
+
+
+def embedding_cosines(spark, sf):
+    """Cosines of at least 0.9 among vectors of one label, as sums over components joined by position."""
+    e = _read(spark, sf, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("p", "x")).withColumn("x", F.col("x").cast("double"))
+    norm = e.groupBy("vec_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
+    v = e.join(norm, "vec_id").select("vec_id", "label", "p", (F.col("x") / F.col("n")).alias("x"))
+    a, b = v.alias("a"), v.alias("b")
+    met = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.vec_id") < F.col("b.vec_id")))
+    g = met.groupBy(F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("c"))
+    return g.where("c >= 0.3").select("i", "j", F.round("c", 6).alias("cosine"))
+
+
+def interval_pairs(spark, sf):
+    """Events of one user within ten minutes of each other, met in buckets of that width."""
+    e = _read(spark, sf, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).withColumn("b", F.floor(F.col("t") / 600_000_000))
+    left = e.withColumn("b", F.explode(F.array("b", F.col("b") + 1))).alias("x")
+    right = e.alias("y")
+    met = left.join(right, (F.col("x.user_id") == F.col("y.user_id")) & (F.col("x.b") == F.col("y.b")) & (F.abs(F.col("x.t") - F.col("y.t")) <= 600_000_000))
+    return met.where("x.event_id != y.event_id").select(F.least("x.event_id", "y.event_id").alias("i"), F.greatest("x.event_id", "y.event_id").alias("j")).distinct()
+
+
+def text_pairs(spark, sf):
+    rows = _read(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), F.regexp_replace(F.substring("text", 1, 300), r"[^\x00-\x7F]", " ").alias("text"))
+    return cosine_pairs(tfidf(rows, DEMO.stop_words), 0.82).select("i", "j", F.round("cos", 6).alias("cosine"))
+
+
+def _events_of_orders(spark, sf):
+    o = _read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    src = F.struct(F.concat(F.lit("t"), "o_orderkey").alias("title"), F.concat(F.lit("http://x/"), "o_orderkey").alias("url"), F.col("o_orderpriority").alias("source_name"))
+    g = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(src)).alias("sources"))
+    return g.select(
+        F.format_string("C%06d", "o_custkey").alias("cluster_id"), F.concat(F.lit("h"), "o_custkey").alias("canonical_headline"),
+        F.when(F.col("o_custkey") % 3 > 0, F.array(F.lit("A"), F.lit("B"))).otherwise(F.array().cast("array<string>")).alias("companies"), "sources",
+    )
+
+
+def evidence_rows(spark, sf):
+    return evidence(_events_of_orders(spark, sf))
+
+
+def flat_events(spark, sf):
+    return clusters_flat(_events_of_orders(spark, sf))
+
+
+def sheet_cells(spark, sf):
+    rows = _read(spark, sf, "documents").select("doc_id", F.array("lang", "source").alias("tags"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("maybe"))
+    return cells(rows, ["doc_id", "tags", "maybe", "absent"])
+
+
+def rejected_rows(spark, sf):
+    out = dedupe.exact_title(dedupe.fresh(apply_cleaning(articles(spark, sf))))
+    return rejected_or_duplicate(scoring.score_relevance(out, DEMO)).select("article_id", "status", "dedupe_status")
+
+
+def table_search(spark, sf):
+    return search(_read(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), "BUILD").select("c_custkey")
+
+
+def counts_by_window(spark, sf):
+    e = _read(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("published_at"), F.col("event_type").alias("source_api"))
+    return windowed_counts(e).select(F.col("start").cast("timestamp_ntz").alias("start"), "source_api", "n")
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    fs = (
+        deal_events, url_canonical, url_domain, title_normalize, title_display, snippet_clean, accent_fold, word_counts, lookback_filter, dedupe_exact_url, dedupe_exact_title,
+        dedupe_fuzzy_title, dedupe_similar_text, dedupe_all, fuzzy_title_pairs, relevance, credibility, group_credibility, confidence_labels, detect_deal_type, detect_category,
+        detect_geography, extract_value, extract_companies, best_turn, ordered_roles, source_counts, top_three, latest_span, embedding_cosines, interval_pairs, text_pairs,
+        evidence_rows, flat_events, sheet_cells, rejected_rows, table_search, counts_by_window,
+    )
+    return {f.__name__: f for f in fs}
