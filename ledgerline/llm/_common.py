@@ -136,7 +136,7 @@ def blocks(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, l
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label): the smallest node that the links (a, b) reach, for every node with a link.
+    """(node, label): the smallest node that the links (a, b) reach, for every linked node but the smallest ones.
 
     Large-star and small-star rounds: each node hands its smallest neighbour on until every edge points at its
     component's smallest node. Minima are pre-aggregated, so a hub costs one row a task; edges never leave the

@@ -81,31 +81,41 @@ def _embed(m: Model, ids: np.ndarray) -> np.ndarray:
     return e
 
 
-def _pad(rows: np.ndarray, first: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
-    """Texts' rows in one array with `pad` unknown words after each; and each text's start there."""
+def _pad(rows: np.ndarray, first: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts' rows in one array with `pad` unknown words after each; where windows of each text begin, and where they stop.
+
+    A text's windows begin at its words and at its first padding word, so an empty text has one too and none reaches
+    into the next text.
+    """
     sizes = np.diff(first)
     starts = first[:-1] + pad * np.arange(len(sizes))
     out = np.zeros((len(rows) + pad * len(sizes), rows.shape[1]), rows.dtype)
     out[np.arange(len(rows)) + pad * np.repeat(np.arange(len(sizes)), sizes)] = rows
-    return out, starts
+    return out, starts, starts + sizes + 1
 
 
-def _pool(m: Model, ids: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """The largest response of each filter in each text."""
-    e = _embed(m, ids)
+def _responses(m: Model, e: np.ndarray) -> list[np.ndarray]:
     out = []
-    for w, b in zip(m.w, m.b, strict=True):
-        n = len(ids) - len(w) + 1
+    for w in m.w:
+        n = len(e) - len(w) + 1
         y = e[:n] @ w[0]
         for j in range(1, len(w)):
             y += e[j : n + j] @ w[j]
-        out.append(np.maximum.reduceat(y, starts, axis=0) + b)
+        out.append(y)
     return out
 
 
 def logits(m: Model, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    ids, starts = _pad(rows, first, max(m.settings.widths))
-    return np.concatenate([np.maximum(p, 0) for p in _pool(m, ids, starts)], 1) @ m.out + m.bias
+    """The largest response of each filter in each text, weighed."""
+    ids, starts, stops = _pad(rows, first, max(m.settings.widths))
+    tops = []
+    for y, b in zip(_responses(m, _embed(m, ids)), m.b, strict=True):
+        edges = np.stack([starts, stops], 1).ravel()
+        if edges[-1] == len(y):
+            edges = edges[:-1]
+        tops.append(np.maximum.reduceat(y, edges, axis=0)[::2] + b)
+    x = np.concatenate(tops, 1)
+    return np.maximum(x, 0.01 * x) @ m.out + m.bias
 
 
 def train(texts: list[np.ndarray], labels: np.ndarray, s: Settings | None = None) -> Model:
@@ -148,16 +158,11 @@ def train(texts: list[np.ndarray], labels: np.ndarray, s: Settings | None = None
         for k in range(0, len(order), 32):
             part = order[k : k + 32]
             first = np.cumsum([0] + [len(rows[i]) for i in part])
-            ids, starts = _pad(np.concatenate([rows[i] for i in part]), first, deep)
+            ids, starts, stops = _pad(np.concatenate([rows[i] for i in part]), first, deep)
             e = _embed(m, ids)
             peaks, tops = [], []
-            ends = np.append(starts[1:], len(ids))
-            for w, b in zip(m.w, m.b, strict=True):
-                n = len(ids) - len(w) + 1
-                y = e[:n] @ w[0]
-                for j in range(1, len(w)):
-                    y += e[j : n + j] @ w[j]
-                peak = np.stack([a + y[a : min(z, n)].argmax(0) for a, z in zip(starts, ends, strict=True)])
+            for y, b in zip(_responses(m, e), m.b, strict=True):
+                peak = np.stack([a + y[a:z].argmax(0) for a, z in zip(starts, stops, strict=True)])
                 peaks.append(peak)
                 tops.append(np.take_along_axis(y, peak, 0) + b)
             x = np.concatenate(tops, 1)
