@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 from . import decontaminate, embeddings, licenses, minhash, packing, secrets, sharding, substrings, token_counts, toxicity
+from .oracles import oracle_sql as oracle_sql
 
 
 def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +104,3 @@ def op10_histogram_packing(spark: SparkSession, sf_dir: str, tokenizer: str | No
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
