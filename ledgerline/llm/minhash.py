@@ -24,7 +24,7 @@ class Settings:
     rows: int = 5  # a pair at 0.8 has no band in common once in 20,000 times
     batch: int = 25  # hashes compared before each look at the posterior
     miss: float = 1e-6  # a pair is dropped when its similarity is high enough with less than this probability
-    block: int = 512  # rows of a bucket that are compared with as many at once
+    block: int = 256  # rows of a bucket that are compared with as many at once
 
     @property
     def hashes(self) -> int:
@@ -116,10 +116,11 @@ def _banded(members: DataFrame, s: Settings) -> DataFrame:
     Counts are written before they are joined back: both sides of the join are then plain shuffles, of which Spark can
     split a hot bucket's.
     """
-    each = [F.xxhash64(F.lit(i), F.substring("sig", 1 + 4 * s.rows * i, 4 * s.rows)) for i in range(s.bands)]
-    spread = C.materialise(members.select(F.explode(F.array(*each)).alias("bucket"), "id", "copies"), "bands")
+    each = [F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("sig", 1 + 4 * s.rows * i, 4 * s.rows)).alias("bucket")) for i in range(s.bands)]
+    spread = members.select(F.explode(F.array(*each)).alias("e"), "id", "copies").select("e.band", "e.bucket", "id", "copies")
+    spread = C.materialise(spread, "bands")
     heads = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.max_by("id", F.struct("copies", F.xxhash64("id"))).alias("head")).where("n > 1")
-    return C.materialise(spread.select("bucket", "id").join(C.materialise(heads, "heads"), "bucket"), "buckets")
+    return C.materialise(spread.select("band", "bucket", "id").join(C.materialise(heads, "heads"), "bucket"), "buckets")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
@@ -160,35 +161,51 @@ def _verified(pairs: DataFrame, members: DataFrame, sets: DataFrame, s: Settings
     return kept.join(side(sets, "set", "a"), "a").join(side(sets, "set", "b"), "b").where(similar("set_a", "set_b")).select("a", "b")
 
 
-def _across(banded: DataFrame, members: DataFrame, label: DataFrame, s: Settings) -> DataFrame:
-    """(a, b): pairs that share a bucket, aren't connected yet and survive the looks at their signatures.
+def _across(banded: DataFrame, members: DataFrame, sets: DataFrame, label: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): links between classes that share a bucket and aren't connected yet.
 
     Only buckets with several components are left, and not those of two classes, which were held against each other
-    before. A bucket's rows are dealt to blocks of about `block` rows; each pair of
-    blocks is one group, so no group grows with the bucket.
+    before. A bucket's rows are dealt to blocks of about `block` rows; each pair of blocks is one group, so no group
+    grows with the bucket. Within it, pairs that survive the looks at their signatures are verified on their sets, at
+    the first band they share; a link joins two components, whose other pairs then need no look. So links come out, and
+    no lists of pairs, however large a group of near copies is.
     """
-    looks = least_matches(s)
+    looks, num = least_matches(s), round(s.similarity * 100)
     named = banded.where("n > 2").join(label.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
     rows = named.join(C.materialise(mixed, "mixed"), "bucket").withColumn("g", F.ceil(F.col("n") / s.block).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id", "bucket"), F.col("g")).cast("int"))
-    rows = rows.join(members.select("id", "sig"), "id")
-    rows = rows.select("bucket", "id", "label", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
-    rows = rows.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "label", "sig")
-    kind = rows.schema["id"].dataType.simpleString()
+    rows = rows.join(members.select("id", "sig"), "id").join(sets, "id")
+    rows = rows.select("band", "bucket", "id", "label", "sig", "set", "own", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
+    rows = rows.select("band", "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "label", "sig", "set")
+    kind, width = rows.schema["id"].dataType.simpleString(), s.rows
+
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
-        ids, labels, own = pdf["id"].to_numpy(), pdf["label"].to_numpy(), pdf["own"].to_numpy()
+        ids, own, sets, band = pdf["id"].to_numpy(), pdf["own"].to_numpy(), pdf["set"].to_list(), int(pdf["band"].iloc[0])
         x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        group = pd.factorize(pdf["label"])[0]
+        before = sig[:, : band * width].reshape(len(sig), band, width)
         found = []
-        for i in left:
-            js = right[(right > i) if x == y else slice(None)]
-            js = js[labels[js] != labels[i]]
+        for i in left.tolist():
+            js = right[right > i] if x == y else right
+            js = js[group[js] != group[i]]
+            if band and len(js):
+                js = js[~(before[js] == before[i]).all(2).any(1)]
+            if len(js):
+                js = js[plausible(np.broadcast_to(sig[i], (len(js), sig.shape[1])), sig[js], s, looks)]
             if not len(js):
                 continue
-            js = js[plausible(np.broadcast_to(sig[i], (len(js), sig.shape[1])), sig[js], s, looks)]
-            found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js]
+            u = np.frombuffer(sets[i], np.uint64)
+            for j in js[np.argsort(-(sig[js] == sig[i]).sum(1), kind="stable")].tolist():
+                if group[j] == group[i]:
+                    continue
+                v = np.frombuffer(sets[j], np.uint64)
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                if 100 * both >= num * (len(u) + len(v) - both):
+                    group[group == group[j]] = group[i]
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
         return pd.DataFrame(found, columns=["a", "b"])
 
     return rows.groupBy("bucket", "x", "y").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
@@ -217,8 +234,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", s:
     star = banded.where("id != head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
     links = C.materialise(_verified(star, members, sets, s), "links")
     label = C.components(links)
-    more = C.materialise(_across(banded, members, label, s), "across")
-    found = _verified(more, members, sets, s)
+    found = _across(banded, members, sets, label, s)
     label = C.components(links.union(found))
 
     named = own.select("class", "id").join(label.select(F.col("node").alias("id"), "label"), "id", "left").select("class", F.coalesce("label", "id").alias("component"))
