@@ -162,7 +162,9 @@ def _spans(rule: Rule, order: int) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, *keep, text, spans) for every row; spans: array of (start, ord, kind, end) by start, then by the rules' order.
+    """(key, text, spans, kept) for every row; spans: array of (start, ord, kind, end) by start, then by the rules' order.
+
+    kept: a struct of the columns named in `keep`, whose names thus can't clash.
 
     Native throughout: posting lists of the rules' mandatory trigrams are built and intersected, and each row runs only
     the patterns of the rules it is a candidate for, and those of rules without mandatory trigrams. Candidates aren't
@@ -174,7 +176,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
     demands = [trigram_query(r.pattern) for r in rules]
     wanted = sorted(set().union(*map(trigrams, demands)))
     found = candidates(postings(docs, wanted, key, text), wanted, demands).withColumnRenamed("key", "_key")
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept"))
     rows = rows.join(found.hint("shuffle_hash"), rows["key"].eqNullSafe(found["_key"]), "left")
     none = F.array().cast("array<struct<start:bigint,ord:int,kind:string,end:bigint>>")
     each = []
@@ -184,7 +186,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
             hit = (F.coalesce(F.col("rules"), F.lit(0).cast("long")).bitwiseAND(F.lit(1 << i)) != 0) & hit
         each.append(F.when(hit, _spans(rule, i)).otherwise(none))
     spans = F.array_sort(F.flatten(F.array(*each)))
-    return rows.select("key", *(F.col(f"_keep_{c}").alias(c) for c in keep), "text", spans.alias("spans"))
+    return rows.select("key", "text", spans.alias("spans"), "kept")
 
 
 def redacted(mark: str = "[secret]") -> Column:
