@@ -161,29 +161,29 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
 
 
-def by_groups(df: DataFrame, keys: list[str], order: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Apply run to frames that hold whole groups, many small ones at once: one shuffle, then a stream of sorted rows.
+def by_groups(df: DataFrame, keys: list[str], order: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int = 16_384) -> DataFrame:
+    """Apply run to frames that hold whole groups, about `rows` rows at once: one shuffle, then a stream of sorted rows.
 
     Cheaper than one call for each group. A group is held in memory, so groups must be bounded by construction.
     """
 
     def stream(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []
+        held: list[pd.DataFrame] = []
+        size, least = 0, rows
         for pdf in parts:
-            if not len(pdf):
+            held.append(pdf)
+            size += len(pdf)
+            if size < least:
                 continue
-            last = pdf[keys].iloc[-1].tolist()
-            if pdf[keys].iloc[0].tolist() == last and (not rest or rest[-1][keys].iloc[-1].tolist() == last):
-                rest.append(pdf)
-                continue
-            same = (pdf[keys] == pdf[keys].iloc[-1]).all(axis=1).to_numpy()
-            begin = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            head = pd.concat([*rest, pdf.iloc[:begin]], ignore_index=True) if rest else pdf.iloc[:begin].reset_index(drop=True)
-            if len(head):
-                yield run(head)
-            rest = [pdf.iloc[begin:]]
-        if rest:
-            yield run(pd.concat(rest, ignore_index=True))
+            whole = pd.concat(held, ignore_index=True)
+            other = np.flatnonzero(~(whole[keys] == whole[keys].iloc[-1]).all(axis=1).to_numpy())
+            begin = int(other[-1]) + 1 if len(other) else 0  # the last group may go on
+            if begin:
+                yield run(whole.iloc[:begin])
+            held, size = [whole.iloc[begin:]], len(whole) - begin
+            least = max(rows, 2 * size)
+        if size:
+            yield run(pd.concat(held, ignore_index=True))
 
     dealt = df.repartition(width(df.sparkSession), *keys).sortWithinPartitions(*keys, *order)
     return dealt.mapInPandas(stream, schema)
