@@ -21,6 +21,7 @@ class Settings:
     similarity: float = 0.8
     hashes: int = 4
     enough: int = 2  # hash functions that must agree on a run; at 0.8 they don't once in 37 times, for exact repeats never
+    closer: int = 6  # hash functions whose pairs name the runs of a text once more, see closer
     drift: int = 32  # words by which matches of one passage may be shifted against each other
     grid: int = 64
 
@@ -29,6 +30,8 @@ class Settings:
         return self.words - self.shingle + 1
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _A = np.random.default_rng(97).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64((1 << 20) - 1)
 
@@ -106,8 +109,68 @@ def _windows(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.mapInArrow(run, f"w long, f int, id {kind}, lo int, hi int, at int")
 
 
-def _supported(pdf: pd.DataFrame, s: Settings) -> np.ndarray:
-    """Which of a text's shared windows hold a run that `enough` hash functions share; many texts at once."""
+def closer(g: np.ndarray, first: np.ndarray, live: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
+    """Longer names for the runs that start where `live` is set: (text, name, begin, end, at), as `windows` gives them.
+
+    A run is named by all of its shingles, so an exact repeat can't meet a text that holds only a part of it, and by the
+    minima of each two of s.closer hash functions together, for repeats with edits: neighbouring runs of one such pair
+    are one window.
+    """
+    t, out = s.run, []
+    idx = np.flatnonzero(live[: max(0, len(g) - t + 1)])
+    if not len(idx):
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    doc = np.searchsorted(first, idx, side="right") - 1
+    place = (np.arange(len(g)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64) & _LOW
+    step = np.full(len(g), _BASE, np.uint64)
+    step[0] = 1
+    power = np.cumprod(step)
+    step[1:] = _BACK
+    back = np.cumprod(step)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(C.mix(g) * power)))
+    out.append((doc, C.mix((sums[idx + t] - sums[idx]) * back[idx]).view(np.int64), idx - first[doc], idx - first[doc] + t, idx - first[doc]))
+    names, ats = [], []
+    for h in range(s.closer):
+        value = C.mix(g * _A[h])
+        m = _sliding_min((value & ~_LOW) | place, t)[idx]
+        at = idx + (((m & _LOW) - place[idx]) & _LOW).astype(np.int64)
+        names.append(value[at] ^ _A[h])
+        ats.append(at)
+    gap = np.ones(len(idx), bool)
+    gap[1:] = (np.diff(idx) != 1) | (doc[1:] != doc[:-1])
+    for h in range(s.closer):
+        for j in range(h + 1, s.closer):
+            new = gap.copy()
+            new[1:] |= (ats[h][1:] != ats[h][:-1]) | (ats[j][1:] != ats[j][:-1])
+            head = np.flatnonzero(new)
+            last = np.append(head[1:], len(idx)) - 1
+            d = doc[head]
+            out.append((d, C.mix(names[h][head] + C.mix(names[j][head])).view(np.int64), idx[head] - first[d], idx[last] + t - first[d], ats[h][head] - first[d]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _closer(docs: DataFrame, s: Settings) -> DataFrame:
+    """docs: (id, text, live), live: ranges (lo, hi) of starts of runs. (w, id, lo, hi, at) for each longer name."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in C.blocks(batch, "text"):
+                g, first = _shingles(texts, s.shingle)
+                edge = np.zeros(len(g) + 1, np.int64)
+                for i, asked in enumerate(part.column(2).to_pylist()):
+                    for x in asked:
+                        edge[first[i] + x["lo"]] += 1
+                        edge[first[i] + x["hi"]] -= 1
+                d, w, lo, hi, at = closer(g, first, np.cumsum(edge)[:-1] > 0, s)
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), part.column(0).take(pa.array(d)), *(pa.array(x, pa.int32()) for x in (lo, hi, at))], names=["w", "id", "lo", "hi", "at"])
+
+    return docs.mapInArrow(run, f"w long, id {kind}, lo int, hi int, at int")
+
+
+def _cover(pdf: pd.DataFrame, s: Settings) -> tuple[np.ndarray, ...]:
+    """Starts of runs of all texts in a row, and whether `enough` hash functions share them: (first start of each text, of
+    each window, its end, shared)."""
     code = pd.factorize(pdf["id"])[0]
     span = np.zeros(code.max() + 1, np.int64)
     lo, hi = pdf["lo"].to_numpy(np.int64), pdf["hi"].to_numpy(np.int64) - s.run + 1  # starts of runs
@@ -121,13 +184,29 @@ def _supported(pdf: pd.DataFrame, s: Settings) -> np.ndarray:
         np.add.at(edge, a[f == h], 1)
         np.add.at(edge, b[f == h], -1)
         cover += np.cumsum(edge) > 0
-    many = np.concatenate(([0], np.cumsum(cover >= s.enough)))
+    return base, a, b, cover >= s.enough
+
+
+def _supported(pdf: pd.DataFrame, s: Settings) -> np.ndarray:
+    """Which of a text's shared windows hold a run that `enough` hash functions share; many texts at once."""
+    _, a, b, shared = _cover(pdf, s)
+    many = np.concatenate(([0], np.cumsum(shared)))
     return many[b] > many[a]
 
 
+def _live(pdf: pd.DataFrame, s: Settings) -> pd.DataFrame:
+    """Ranges (lo, hi) of starts of runs that `enough` hash functions share, with no `first`; many texts at once.
+    Texts never touch in the row: each ends with a start that nothing covers."""
+    base, _, _, shared = _cover(pdf, s)
+    edge = np.diff(np.concatenate(([False], shared, [False])).view(np.int8))
+    lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    d = np.searchsorted(base, lo, side="right") - 1
+    ids = pd.factorize(pdf["id"])[1]
+    return pd.DataFrame({"id": np.asarray(ids)[d], "lo": lo - base[d], "hi": hi - base[d], "first": None, "lo2": 0, "hi2": 0})
+
+
 def _merged(pdf: pd.DataFrame, s: Settings) -> pd.DataFrame:
-    """Supported windows of one pair of texts that overlap at about the same shift, as one span."""
-    pdf = pdf[_supported(pdf, s)]
+    """Windows of one pair of texts that overlap at about the same shift, as one span."""
     if not len(pdf):
         return pd.DataFrame({"id": [], "lo": [], "hi": [], "first": [], "lo2": [], "hi2": []})
     pdf = pdf.assign(shift=pdf["at"] - pdf["at2"]).sort_values(["id", "first", "shift", "lo"], kind="stable")
@@ -159,7 +238,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Setting
     once itself, with kept true. So every text with a repeated passage has a row, and clean texts have none.
 
     Windows with a name that several texts share are held against the name's first occurrence only: a passage that is in
-    thousands of texts gives as many rows, not their pairs. Windows are counted in one pass and made again in a second
+    thousands of texts gives as many rows, not their pairs. That one may hold a common sentence and no more, so runs that
+    enough hash functions share are named once more, by more of what they hold (`closer`), and where nothing was
+    confirmed they are held against the first occurrence of those names. Windows are counted in one pass and made again in a second
     one, joined to the shared names, which are few; only runs on which enough hash functions agree go on, and spans are
     confirmed on the texts' shingles.
 
@@ -171,10 +252,40 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Setting
     C.small_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    named = _windows(rows, s).groupBy("w").agg(F.min(F.struct("id", "at", "lo", "hi")).alias("x"), F.max("id").alias("last")).where("x.id != last")
-    shared = C.materialise(named.select("w", F.col("x.id").alias("first"), F.col("x.at").alias("at2"), F.col("x.lo").alias("lo2"), F.col("x.hi").alias("hi2")), "names")
-    cands = _windows(rows, s).join(shared, "w").where("id != first").select("id", "f", "lo", "hi", "at", "first", "lo2", "hi2", "at2")
-    spans = C.by_groups(cands, ["id"], ["first", "lo"], lambda pdf: _merged(pdf, s), f"id {kind}, lo int, hi int, first {kind}, lo2 int, hi2 int")
+    named = _windows(rows, s).groupBy("w").agg(F.min(F.struct("id", "at", "lo", "hi")).alias("x"), F.max("id").alias("last"), F.count("*").alias("n")).where("x.id != last")
+    shared = C.materialise(named.select("w", (F.col("n") > 2).alias("many"), F.col("x.id").alias("first"), F.col("x.at").alias("at2"), F.col("x.lo").alias("lo2"), F.col("x.hi").alias("hi2")), "names")
+    cands = _windows(rows, s).join(shared, "w").select("id", "f", "lo", "hi", "at", "first", "lo2", "hi2", "at2", "many").where("many or id != first")
+    schema = f"id {kind}, lo int, hi int, first {kind}, lo2 int, hi2 int"
+
+    def held(pdf: pd.DataFrame) -> pd.DataFrame:
+        pairs, many = pdf[pdf["id"] != pdf["first"]], pdf[pdf["many"]]  # a name of two windows has met already
+        out = [_merged(pairs[_supported(pairs, s)], s)] if len(pairs) else []
+        out += [_live(many, s)] if len(many) else []
+        return pd.concat(out, ignore_index=True)
+
+    both = C.materialise(C.by_groups(cands, ["id"], ["first", "lo"], held, schema), "held")
+    found = _confirmed(rows, both.where("first is not null"), s)
+    # runs that several functions share, by longer names
+    live = both.where("first is null").groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("live"))  # bounded by the text's length
+    longer = C.materialise(_closer(rows.join(live.hint("shuffle_hash"), "id"), s), "longer-names")
+    named = longer.groupBy("w").agg(F.min(F.struct("id", "at", "lo", "hi")).alias("x"), F.max("id").alias("last")).where("x.id != last")
+    named = named.select("w", F.col("x.id").alias("first"), F.col("x.at").alias("at2"), F.col("x.lo").alias("lo2"), F.col("x.hi").alias("hi2"))
+    done = found.select(F.col("id").alias("of"), "a", (F.col("b") - s.shingle + 1).alias("z")).distinct()
+    settled = (F.col("id") == F.col("of")) & (F.least("hi", "z") - F.greatest("lo", "a") >= s.run)
+    cands = longer.join(done, settled, "left_anti").join(named, "w").where("id != first").select("id", "lo", "hi", "at", "first", "lo2", "hi2", "at2")
+    again = C.by_groups(cands, ["id"], ["first", "lo"], lambda pdf: _merged(pdf, s), schema)
+    found = found.union(_confirmed(rows, again, s))
+    # windows that reach beyond a passage can have a later first occurrence: the earliest one counts
+    best = found.groupBy("id", "a", "b").agg(F.min(F.struct("first", (-F.col("share")).alias("s"), "c", "d")).alias("x"))
+    best = C.materialise(best.select("id", "a", "b", "x.*"), "best")
+    later = best.select(F.col("id").alias("key"), F.col("a").alias("begin"), F.col("b").alias("end"), "first", (-F.col("s")).alias("similarity"), F.lit(False).alias("kept"))
+    origin = best.select(F.col("first").alias("key"), F.col("c").alias("begin"), F.col("d").alias("end")).distinct()
+    return later.union(origin.select("key", "begin", "end", F.col("key").alias("first"), F.lit(1.0).alias("similarity"), F.lit(True).alias("kept")))
+
+
+def _confirmed(rows: DataFrame, spans: DataFrame, s: Settings) -> DataFrame:
+    """(id, a, b, first, c, d, share) for each stretch of a span that the texts' shingles confirm, in words."""
+    kind = rows.schema["id"].dataType.simpleString()
     # the first text's side on a grid, so that a passage that many texts repeat is fetched a few times only
     grid = F.lit(s.grid)
     spans = spans.select("id", "lo", "hi", "first", (F.floor(F.col("lo2") / grid) * grid).cast("int").alias("lo2"), (F.ceil(F.col("hi2") / grid) * grid).cast("int").alias("hi2"))
@@ -219,10 +330,4 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Setting
     theirs = regions.select(F.col("id").alias("first"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("grams").alias("y"))
     both = spans.join(mine, ["id", "lo", "hi"]).join(theirs, ["first", "lo2", "hi2"])
     found = both.select("id", "lo", "first", "lo2", F.explode(confirmed("x", "y")).alias("s"))
-    found = C.materialise(found.select("id", (F.col("lo") + F.col("s.a")).alias("a"), (F.col("lo") + F.col("s.b")).alias("b"), "first", (F.col("lo2") + F.col("s.c")).alias("c"), (F.col("lo2") + F.col("s.d")).alias("d"), "s.share"), "repeats")
-    # windows that reach beyond a passage can have a later first occurrence: the earliest one counts
-    best = found.groupBy("id", "a", "b").agg(F.min(F.struct("first", (-F.col("share")).alias("s"), "c", "d")).alias("x"))
-    best = C.materialise(best.select("id", "a", "b", "x.*"), "best")
-    later = best.select(F.col("id").alias("key"), F.col("a").alias("begin"), F.col("b").alias("end"), "first", (-F.col("s")).alias("similarity"), F.lit(False).alias("kept"))
-    origin = best.select(F.col("first").alias("key"), F.col("c").alias("begin"), F.col("d").alias("end")).distinct()
-    return later.union(origin.select("key", "begin", "end", F.col("key").alias("first"), F.lit(1.0).alias("similarity"), F.lit(True).alias("kept")))
+    return C.materialise(found.select("id", (F.col("lo") + F.col("s.a")).alias("a"), (F.col("lo") + F.col("s.b")).alias("b"), "first", (F.col("lo2") + F.col("s.c")).alias("c"), (F.col("lo2") + F.col("s.d")).alias("d"), "s.share"), "repeats")

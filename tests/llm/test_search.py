@@ -184,6 +184,31 @@ def test_repeated_passages(make_docs, odd_texts):
     assert substrings.repeats(make_docs([])).count() == 0
 
 
+def test_repeats_of_sentences_that_earlier_texts_hold_apart(make_docs):
+    """Every name of such a passage can be first in a text that holds one of its sentences only."""
+    rng, rows, n = random.Random(5), [], 30
+    noise = lambda: words(rng, rng.randint(200, 250))
+    passages = [(words(rng, 26), words(rng, 26)) for _ in range(n)]
+    for k, (x, y) in enumerate(passages):
+        rows += [(k, " ".join(noise() + x + noise() + y + noise()))]
+        for b in (100, 200):
+            rows.append((b + k, " ".join(noise() + x + y + noise())))
+    for k in range(n):  # the first text has a sentence first, and later the passage
+        x, y = words(rng, 26), words(rng, 26)
+        rows.append((300 + k, " ".join(noise() + x + noise() + y + noise() + x + y + noise())))
+        rows.append((400 + k, " ".join(noise() + x + y + noise())))
+    for k in range(n):  # with an edit in the second text
+        x, y = words(rng, 45), words(rng, 45)
+        rows.append((500 + k, " ".join(noise() + x[:30] + noise() + x[15:] + noise() + y[:30] + noise() + y[15:])))
+        rows.append((600 + k, " ".join(noise() + x + y + noise())))
+        rows.append((700 + k, " ".join(noise() + _edited(rng, x + y, 2) + noise())))
+    out = substrings.repeats(make_docs(rows)).toPandas()
+    got = {(r.key, r.first) for r in out[~out["kept"]].itertuples()}
+    want = {(200 + k, 100 + k) for k in range(n)} | {(400 + k, 300 + k) for k in range(n)}
+    assert want <= got and got - want <= {(700 + k, 600 + k) for k in range(n)}
+    assert len(got - want) >= 0.9 * n
+
+
 def test_segments():
     hit = np.array([0, 1, 1, 1, 1, 0, 1, 1, 1, 1, 0, 0, 0, 0, 1, 0], bool)
     assert substrings.segments(hit, 0.8, 5) == [(1, 10, 8 / 9)] and substrings.segments(hit, 0.95, 5) == []
