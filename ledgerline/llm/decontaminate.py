@@ -144,7 +144,8 @@ class Index:
         doc = np.repeat(np.arange(len(texts)), n)
         begin = first[doc] + step * (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n))
         end = np.minimum(begin + 2 * step, first[doc + 1])
-        order = np.argsort(code, kind="stable")  # where a word stood before, so that a passage counts it once
+        order = np.flatnonzero(known)  # where a known word stood before, so that a passage counts it once
+        order = order[np.argsort(code[order], kind="stable")]
         same = code[order[1:]] == code[order[:-1]]
         before = np.full(len(h), -1)
         before[order[1:][same]] = order[:-1][same]

@@ -152,6 +152,16 @@ def test_leaks_are_those_of_the_shingles(spark, make_docs, odd_texts):
     assert decontaminate.split_item("Q: what? Answer: this one") == ("Q: what?", "this one")
 
 
+def test_one_item_among_unknown_words():
+    """The bound counts each known word of a passage, whatever unknown words stand before it."""
+    rng = random.Random(13)
+    for _ in range(600):
+        item = " ".join(words(rng, rng.randint(4, 8))) + ". " + " ".join(words(rng, 3)) + "."
+        index = decontaminate.Index([(0, item)], decontaminate.Settings())
+        text = " ".join([*words(rng, rng.randint(20, 60)), item, *words(rng, 40)])
+        assert list(index.match([text.encode()])[0]) == [0]
+
+
 def test_windows_hold_every_run():
     s, rng = substrings.Settings(words=12, hashes=3), np.random.default_rng(1)
     sizes = [0, 3, 8, 9, 40, 200]
