@@ -54,10 +54,11 @@ class Quantiser:
 
 
 def learn(units: np.ndarray, bits: int, codes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Directions, then for each code a rotation that brings the sample nearest to its own signs (iterative quantisation)."""
+    """Directions, then for each code a rotation that brings the sample nearest to its own signs (iterative quantisation).
+    Hyperplanes go through the origin: the number of tables counts on angles there, and a mean would follow a hot vector."""
     dim = units.shape[1]
-    mean = units.mean(0)
-    x = units - mean
+    mean = np.zeros(dim)
+    x = units
     _, vectors = np.linalg.eigh(x.T @ x)
     base = vectors[:, ::-1][:, : min(bits, dim)]
     p, out = x @ base, []
@@ -89,13 +90,13 @@ def _unit(v: object) -> np.ndarray | None:
 
 
 def fit(vectors: DataFrame, largest: int, s: Settings) -> Quantiser:
-    """Learn on at most `sample` vectors. A chunk has about log2 of the largest group's size bits, and there are as many tables
+    """Learn on at most `sample` distinct vectors: copies would be in the sample all at once or not at all. A chunk has about log2 of the largest group's size bits, and there are as many tables
     as a pair at the threshold needs to share one, so recall stays as it is when the table grows."""
     chunk = int(min(16, max(8, round(math.log2(max(1, largest) / s.per_bucket)))))
     apart = math.acos(s.cosine) / math.pi  # how often a bit differs
     tables = math.ceil(math.log(s.miss) / math.log(1 - (1 - apart) ** chunk))
     q = Quantiser(chunk, tables, s.bits)
-    got = vectors.orderBy(F.xxhash64("vec")).limit(s.sample).select("vec").toPandas()["vec"]
+    got = vectors.select("vec").distinct().orderBy(F.xxhash64("vec")).limit(s.sample).select("vec").toPandas()["vec"]
     units = [u for u in map(_unit, got) if u is not None]
     for dim in {len(u) for u in units}:
         own = np.stack([u for u in units if len(u) == dim])

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm import decontaminate, embeddings, minhash, substrings, toxicity
@@ -111,6 +112,23 @@ def test_embedding_links_are_those_of_all_pairs(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_sample_with_a_third_of_all_rows_equal(spark):
+    """Near copies of a hot vector share a table, though its copies come first in the order of the sample."""
+    rng = np.random.default_rng(17)
+    able = spark.createDataFrame([(v.tolist(),) for v in rng.normal(size=(2000, 32))], "vec array<double>")
+    hot = able.selectExpr("vec").orderBy(F.xxhash64("vec")).first()["vec"]
+    table = able.union(spark.createDataFrame([(hot,)] * 1000, "vec array<double>"))
+    c = np.array(hot) / np.linalg.norm(hot)
+    e = rng.normal(size=(400, 32))
+    e -= np.outer(e @ c, c)
+    near = 0.94 * c + np.sqrt(1 - 0.94**2) * e / np.linalg.norm(e, axis=1)[:, None]
+    q = embeddings.fit(table, 20_000, embeddings.Settings(sample=1050))
+    assert (q.keys(near) == q.keys(c[None])).any(1).mean() >= 0.98
+    mostly = np.concatenate([near, rng.normal(size=(40, 32)) / np.sqrt(32)])  # near copies, all distinct, may fill a sample too
+    q.rotations[32] = embeddings.learn(mostly, q.bits, q.codes, 30)
+    assert (q.keys(near) == q.keys(c[None])).any(1).mean() >= 0.98
+
+
 def _scores(index, terms):
     total = np.zeros(len(index.ids))
     for t in terms:
