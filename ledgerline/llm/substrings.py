@@ -19,11 +19,13 @@ class Settings:
     shingle: int = 5
     words: int = 50  # the shortest passage
     similarity: float = 0.8
+    variety: int = 23  # distinct shingles that a passage needs, half of a run: a word said fifty times is no passage
     hashes: int = 4
     enough: int = 2  # hash functions that must agree on a run; at 0.8 they don't once in 37 times, for exact repeats never
-    closer: int = 6  # hash functions whose pairs name the runs of a text once more, see closer
+    closer: int = 5  # hash functions whose pairs name the runs of a text once more, see closer
     drift: int = 32  # words by which matches of one passage may be shifted against each other
     grid: int = 64
+    together: int = 1024  # spans that are held against one copy of a first text's cut
 
     @property
     def run(self) -> int:
@@ -149,72 +151,87 @@ def closer(g: np.ndarray, first: np.ndarray, live: np.ndarray, s: Settings) -> t
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _closer(docs: DataFrame, s: Settings) -> DataFrame:
-    """docs: (id, text, live), live: ranges (lo, hi) of starts of runs. (w, id, lo, hi, at) for each longer name."""
-    kind = docs.schema["id"].dataType.simpleString()
+def _closer(left: DataFrame, s: Settings) -> DataFrame:
+    """left: (id, base, grams, open), open: ranges (lo, hi) of starts of runs to add (n = 1) or to leave out (n = -1).
+    (w, id, lo, hi, at) for each longer name of a run that is open."""
+    kind = left.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in C.blocks(batch, "text"):
-                g, first = _shingles(texts, s.shingle)
-                edge = np.zeros(len(g) + 1, np.int64)
-                for i, asked in enumerate(part.column(2).to_pylist()):
-                    for x in asked:
-                        edge[first[i] + x["lo"]] += 1
-                        edge[first[i] + x["hi"]] -= 1
-                d, w, lo, hi, at = closer(g, first, np.cumsum(edge)[:-1] > 0, s)
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), part.column(0).take(pa.array(d)), *(pa.array(x, pa.int32()) for x in (lo, hi, at))], names=["w", "id", "lo", "hi", "at"])
-
-    return docs.mapInArrow(run, f"w long, id {kind}, lo int, hi int, at int")
-
-
-def _cover(pdf: pd.DataFrame, s: Settings) -> tuple[np.ndarray, ...]:
-    """Starts of runs of all texts in a row, and whether `enough` hash functions share them: (first start of each text, of
-    each window, its end, shared)."""
-    code = pd.factorize(pdf["id"])[0]
-    span = np.zeros(code.max() + 1, np.int64)
-    lo, hi = pdf["lo"].to_numpy(np.int64), pdf["hi"].to_numpy(np.int64) - s.run + 1  # starts of runs
-    np.maximum.at(span, code, hi + 1)
-    base = np.concatenate(([0], np.cumsum(span)))
-    a, b = lo + base[code], hi + base[code]
-    cover = np.zeros(base[-1] + 1, np.int32)
-    f = pdf["f"].to_numpy()
-    for h in np.unique(f):
-        edge = np.zeros(base[-1] + 1, np.int32)
-        np.add.at(edge, a[f == h], 1)
-        np.add.at(edge, b[f == h], -1)
-        cover += np.cumsum(edge) > 0
-    return base, a, b, cover >= s.enough
-
-
-def _supported(pdf: pd.DataFrame, s: Settings) -> np.ndarray:
-    """Which of a text's shared windows hold a run that `enough` hash functions share; many texts at once."""
-    _, a, b, shared = _cover(pdf, s)
-    many = np.concatenate(([0], np.cumsum(shared)))
-    return many[b] > many[a]
+            for part, cells in C.blocks(batch, "grams"):
+                own = [np.frombuffer(c, "<u4") for c in cells]
+                first = np.concatenate(([0], np.cumsum([len(c) for c in own])))
+                base = part.column(1).to_numpy()
+                live = np.zeros((2, first[-1] + 1), np.int64)
+                for i, ranges in enumerate(part.column(3).to_pylist()):
+                    n = len(own[i]) - s.run + 1
+                    for x in ranges:
+                        lo, hi = (max(0, min(n, x[e] - int(base[i]))) for e in ("lo", "hi"))
+                        if lo < hi:
+                            side = 0 if x["n"] > 0 else 1
+                            live[side, first[i] + lo] += 1
+                            live[side, first[i] + hi] -= 1
+                live = np.cumsum(live, 1)[:, :-1] > 0
+                d, w, lo, hi, at = closer(C.mix(np.concatenate([*own, np.zeros(0, "<u4")]).astype(np.uint64)), first, live[0] & ~live[1], s)
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), part.column(0).take(pa.array(d)), *(pa.array(x + base[d], pa.int32()) for x in (lo, hi, at))], names=["w", "id", "lo", "hi", "at"])
+
+    return left.mapInArrow(run, f"w long, id {kind}, lo int, hi int, at int")
 
 
 def _live(pdf: pd.DataFrame, s: Settings) -> pd.DataFrame:
     """Ranges (lo, hi) of starts of runs that `enough` hash functions share, with no `first`; many texts at once.
     Texts never touch in the row: each ends with a start that nothing covers."""
-    base, _, _, shared = _cover(pdf, s)
-    edge = np.diff(np.concatenate(([False], shared, [False])).view(np.int8))
+    code, ids = pd.factorize(pdf["id"])
+    size = np.zeros(len(ids), np.int64)
+    lo, hi = pdf["lo"].to_numpy(np.int64), pdf["hi"].to_numpy(np.int64) - s.run + 1  # starts of runs
+    np.maximum.at(size, code, hi + 1)
+    base = np.concatenate(([0], np.cumsum(size)))
+    f, cover = pdf["f"].to_numpy(), np.zeros(base[-1] + 1, np.int32)
+    for h in np.unique(f):
+        edge = np.zeros(base[-1] + 1, np.int32)
+        np.add.at(edge, (lo + base[code])[f == h], 1)
+        np.add.at(edge, (hi + base[code])[f == h], -1)
+        cover += np.cumsum(edge) > 0
+    edge = np.diff(np.concatenate(([False], cover >= s.enough, [False])).view(np.int8))
     lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     d = np.searchsorted(base, lo, side="right") - 1
-    ids = pd.factorize(pdf["id"])[1]
-    return pd.DataFrame({"id": np.asarray(ids)[d], "lo": lo - base[d], "hi": hi - base[d], "first": None, "lo2": 0, "hi2": 0})
+    return pd.DataFrame({"id": np.asarray(ids)[d], "lo": lo - base[d], "hi": hi - base[d], "first": None, "lo2": 0, "hi2": 0, "low": 0, "high": 0})
 
 
-def _merged(pdf: pd.DataFrame, s: Settings) -> pd.DataFrame:
-    """Windows of one pair of texts that overlap at about the same shift, as one span."""
-    if not len(pdf):
-        return pd.DataFrame({"id": [], "lo": [], "hi": [], "first": [], "lo2": [], "hi2": []})
+def _merged(pdf: pd.DataFrame, s: Settings, enough: int) -> pd.DataFrame:
+    """The interval join of each pair of texts: windows that overlap at about the same shift are one span, if `enough`
+    hash functions are among them. (low, high): the span's least and greatest shift."""
     pdf = pdf.assign(shift=pdf["at"] - pdf["at2"]).sort_values(["id", "first", "shift", "lo"], kind="stable")
     far = (pdf["shift"].diff().abs() > s.drift).to_numpy() | (pdf["id"] != pdf["id"].shift()).to_numpy() | (pdf["first"] != pdf["first"].shift()).to_numpy()
     pdf = pdf.assign(line=np.cumsum(far)).sort_values(["line", "lo"], kind="stable")
     top = pdf.groupby("line")["hi"].cummax().shift()
     pdf = pdf.assign(span=np.cumsum((pdf["line"] != pdf["line"].shift()).to_numpy() | (pdf["lo"] > top).to_numpy()))
-    return pdf.groupby("span").agg(id=("id", "first"), lo=("lo", "min"), hi=("hi", "max"), first=("first", "first"), lo2=("lo2", "min"), hi2=("hi2", "max")).reset_index(drop=True)
+    out = pdf.groupby("span").agg(
+        id=("id", "first"), lo=("lo", "min"), hi=("hi", "max"), first=("first", "first"), lo2=("lo2", "min"), hi2=("hi2", "max"), low=("shift", "min"), high=("shift", "max"), n=("f", "nunique")
+    )
+    return out[out["n"] >= enough].drop(columns="n")
+
+
+def aligned(u: np.ndarray, v: np.ndarray, low: int, high: int) -> np.ndarray:
+    """For each shingle of u the place in v that it is matched with, or -1: equal shingles, shifted (place in u minus place
+    in v) by low to high, nearest to the middle of these; no place of v is taken twice."""
+    if not len(u) or not len(v):
+        return np.full(len(u), -1)
+    code = np.unique(np.concatenate((u, v)), return_inverse=True)[1].astype(np.int64)
+    wide, place = np.int64(len(u) + len(v) + high - low + 4), np.arange(len(v))
+    have = np.sort(code[len(u) :] * wide + place)
+    p, own = np.arange(len(u)), code[: len(u)] * wide
+    want = p - (low + high) // 2
+    after = np.searchsorted(have, own + np.clip(want, 0, len(v)))
+    best = np.full(len(u), -1)
+    for at in (after - 1, after):
+        q = have[at.clip(0, len(v) - 1)] - own
+        ok = (at >= 0) & (at < len(v)) & (q >= 0) & (q < len(v)) & (p - q >= low) & (p - q <= high)
+        best = np.where(ok & ((best < 0) | (np.abs(q - want) < np.abs(best - want))), q, best)
+    hit = np.flatnonzero(best >= 0)
+    once = np.zeros(len(u), bool)
+    once[hit[np.unique(best[hit], return_index=True)[1]]] = True
+    return np.where(once, best, -1)
 
 
 def segments(hit: np.ndarray, share: float, least: int) -> list[tuple[int, int, float]]:
@@ -233,19 +250,25 @@ def segments(hit: np.ndarray, share: float, least: int) -> list[tuple[int, int,
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Settings | None = None) -> DataFrame:
     """(key, begin, end, first, similarity, kept): passages, in words, that repeat across texts.
 
-    A passage of at least s.words words whose shingles occur, for the most part (s.similarity), in an earlier text, is
-    reported with that text (`first`, the one with the smallest key) and kept false; the first occurrence is reported
-    once itself, with kept true. So every text with a repeated passage has a row, and clean texts have none.
+    A passage of at least s.words words whose shingles occur, for the most part (s.similarity), in another text and in
+    about the same order, is reported with that text (`first`, the smallest key among those it was confirmed with) and
+    kept false; the other text's passage is reported once itself, with kept true. So every text with a repeated passage
+    has a row, and clean texts have none.
+
+    Two rounds, each of which holds windows of one name against the name's first occurrence only: a passage that is in
+    thousands of texts gives as many rows, not their pairs. In the first, names are single min-hashes, and a pair of
+    texts needs `enough` functions on one span. A name's first occurrence may hold only a common sentence of the
+    passage, so runs that several functions share with any text and that weren't confirmed shingle by shingle are named
+    again by all they hold (see `closer`). Equal runs are equal to their first occurrence: no exact repeat is lost.
 
-    Windows with a name that several texts share are held against the name's first occurrence only: a passage that is in
-    thousands of texts gives as many rows, not their pairs. That one may hold a common sentence and no more, so runs that
-    enough hash functions share are named once more, by more of what they hold (`closer`), and where nothing was
-    confirmed they are held against the first occurrence of those names. Windows are counted in one pass and made again in a second
-    one, joined to the shared names, which are few; only runs on which enough hash functions agree go on, and spans are
-    confirmed on the texts' shingles.
+    Texts are read once to find shared windows, once more to make them again next to the shared names, and once to cut
+    out what is verified; later steps read these cuts.
 
-    Words are of letters and digits. Null and empty texts and null keys: no rows. Rows of one key are one document.
-    Repeats within a document don't count.
+    A passage has at least s.variety distinct shingles: one word or short line over and over repeats within its text.
+
+    Words are of letters and digits. Null and empty texts and null keys: no rows. Rows of one key are one document, whose
+    texts are verified one by one; repeats within a document don't count. Ties go to the smallest key and place. Empty
+    table: no rows.
     """
     s = s or Settings()
     spark = docs.sparkSession
@@ -253,81 +276,136 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Setting
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     named = _windows(rows, s).groupBy("w").agg(F.min(F.struct("id", "at", "lo", "hi")).alias("x"), F.max("id").alias("last"), F.count("*").alias("n")).where("x.id != last")
-    shared = C.materialise(named.select("w", (F.col("n") > 2).alias("many"), F.col("x.id").alias("first"), F.col("x.at").alias("at2"), F.col("x.lo").alias("lo2"), F.col("x.hi").alias("hi2")), "names")
+    shared = C.materialise(named.selectExpr("w", "n > 2 as many", *_FIRST), "names")
     cands = _windows(rows, s).join(shared, "w").select("id", "f", "lo", "hi", "at", "first", "lo2", "hi2", "at2", "many").where("many or id != first")
-    schema = f"id {kind}, lo int, hi int, first {kind}, lo2 int, hi2 int"
+    schema = f"id {kind}, lo int, hi int, first {kind}, lo2 int, hi2 int, low int, high int"
 
     def held(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs, many = pdf[pdf["id"] != pdf["first"]], pdf[pdf["many"]]  # a name of two windows has met already
-        out = [_merged(pairs[_supported(pairs, s)], s)] if len(pairs) else []
+        out = [_merged(pairs, s, s.enough)] if len(pairs) else []
         out += [_live(many, s)] if len(many) else []
         return pd.concat(out, ignore_index=True)
 
     both = C.materialise(C.by_groups(cands, ["id"], ["first", "lo"], held, schema), "held")
-    found = _confirmed(rows, both.where("first is not null"), s)
-    # runs that several functions share, by longer names
-    live = both.where("first is null").groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("live"))  # bounded by the text's length
-    longer = C.materialise(_closer(rows.join(live.hint("shuffle_hash"), "id"), s), "longer-names")
-    named = longer.groupBy("w").agg(F.min(F.struct("id", "at", "lo", "hi")).alias("x"), F.max("id").alias("last")).where("x.id != last")
-    named = named.select("w", F.col("x.id").alias("first"), F.col("x.at").alias("at2"), F.col("x.lo").alias("lo2"), F.col("x.hi").alias("hi2"))
-    done = found.select(F.col("id").alias("of"), "a", (F.col("b") - s.shingle + 1).alias("z")).distinct()
-    settled = (F.col("id") == F.col("of")) & (F.least("hi", "z") - F.greatest("lo", "a") >= s.run)
-    cands = longer.join(done, settled, "left_anti").join(named, "w").where("id != first").select("id", "lo", "hi", "at", "first", "lo2", "hi2", "at2")
-    again = C.by_groups(cands, ["id"], ["first", "lo"], lambda pdf: _merged(pdf, s), schema)
-    found = found.union(_confirmed(rows, again, s))
+    spans = _on_grid(both.where("first is not null"), s)
+    live = both.where("first is null").select("id", "lo", "hi")
+    wanted = spans.select("id", "lo", "hi").union(spans.select("first", "lo2", "hi2")).union(live.select("id", "lo", F.col("hi") + s.run))
+    cuts = C.materialise(_cuts(rows, wanted.distinct(), s), "cuts")
+    found = _confirmed(cuts, spans, s)
+    # runs that several functions share and that weren't confirmed whole, by longer names
+    done = found.select("id", F.explode("whole").alias("w")).select("id", F.col("w.a").alias("lo"), (F.col("w.b") - s.run + 1).alias("hi"), F.lit(-1).alias("n"))
+    open_ = live.withColumn("n", F.lit(1)).unionByName(done.distinct()).groupBy("id").agg(F.collect_list(F.struct("lo", "hi", "n")).alias("open"))  # bounded by the text's length
+    left = C.materialise(cuts.join(open_.where("exists(open, x -> x.n > 0)").hint("shuffle_hash"), "id"), "open")
+    named = _closer(left, s).groupBy("w").agg(F.min(F.struct("id", "at", "lo", "hi")).alias("x"), F.max("id").alias("last")).where("x.id != last")
+    cands = _closer(left, s).join(named.selectExpr("w", *_FIRST), "w").where("id != first").select("id", F.lit(0).alias("f"), "lo", "hi", "at", "first", "lo2", "hi2", "at2")
+    again = C.materialise(C.by_groups(cands, ["id"], ["first", "lo"], lambda pdf: _merged(pdf, s, 1), schema), "again")
+    more = _confirmed(cuts, _on_grid(again, s), s)
     # windows that reach beyond a passage can have a later first occurrence: the earliest one counts
-    best = found.groupBy("id", "a", "b").agg(F.min(F.struct("first", (-F.col("share")).alias("s"), "c", "d")).alias("x"))
+    best = found.union(more).groupBy("id", "a", "b").agg(F.min(F.struct("first", (-F.col("share")).alias("s"), "c", "d")).alias("x"))
     best = C.materialise(best.select("id", "a", "b", "x.*"), "best")
+    C.discard(shared, both, cuts, left, again, found, more)
     later = best.select(F.col("id").alias("key"), F.col("a").alias("begin"), F.col("b").alias("end"), "first", (-F.col("s")).alias("similarity"), F.lit(False).alias("kept"))
     origin = best.select(F.col("first").alias("key"), F.col("c").alias("begin"), F.col("d").alias("end")).distinct()
     return later.union(origin.select("key", "begin", "end", F.col("key").alias("first"), F.lit(1.0).alias("similarity"), F.lit(True).alias("kept")))
 
 
-def _confirmed(rows: DataFrame, spans: DataFrame, s: Settings) -> DataFrame:
-    """(id, a, b, first, c, d, share) for each stretch of a span that the texts' shingles confirm, in words."""
-    kind = rows.schema["id"].dataType.simpleString()
-    # the first text's side on a grid, so that a passage that many texts repeat is fetched a few times only
+_FIRST = ("x.id as first", "x.at as at2", "x.lo as lo2", "x.hi as hi2")
+
+
+def _on_grid(spans: DataFrame, s: Settings) -> DataFrame:
+    """The first text's side on a grid, so that a passage that many texts repeat is cut out a few times only."""
     grid = F.lit(s.grid)
-    spans = spans.select("id", "lo", "hi", "first", (F.floor(F.col("lo2") / grid) * grid).cast("int").alias("lo2"), (F.ceil(F.col("hi2") / grid) * grid).cast("int").alias("hi2"))
-    spans = C.materialise(spans, "spans")
+    return spans.withColumns({"lo2": (F.floor(F.col("lo2") / grid) * grid).cast("int"), "hi2": (F.ceil(F.col("hi2") / grid) * grid).cast("int")})
 
-    wanted = spans.select("id", "lo", "hi").union(spans.select("first", "lo2", "hi2")).distinct()
-    asked = wanted.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("asked"))  # bounded by the text's length
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cuts(rows: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
+    """(id, base, grams): the shingles of each stretch that the ranges of a text cover, `base` being its first one's place.
+
+    32 bits of each hash are kept; places are compared along a diagonal, so equal ones by chance don't matter.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    asked = wanted.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("asked"))  # distinct: bounded by the text's length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in C.blocks(batch, "text"):
                 g, heads = _shingles(texts, s.shingle)
-                ids, lo, hi, cells = [], [], [], []
+                small = (g >> np.uint64(32)).astype("<u4")
+                ids, base, cells = [], [], []
                 for i, ask in enumerate(part.column(2).to_pylist()):
-                    own = g[heads[i] : heads[i + 1]]
-                    for x in ask:
+                    end, n = 0, int(heads[i + 1] - heads[i])
+                    for x in sorted(ask, key=lambda x: (x["lo"], x["hi"])):
+                        lo, hi = min(x["lo"], n), min(x["hi"], n)
+                        if cells and ids[-1] == i and lo <= end:
+                            end = max(end, hi)
+                            cells[-1] = (base[-1], end)
+                        elif lo < hi:
+                            ids.append(i)
+                            base.append(lo)
+                            cells.append((lo, hi))
+                            end = hi
+                grams = [small[heads[i] + a : heads[i] + b].tobytes() for i, (a, b) in zip(ids, cells, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ids, pa.int64())), pa.array(base, pa.int32()), pa.array(grams, pa.binary())], names=["id", "base", "grams"])
+
+    return rows.join(asked.hint("shuffle_hash"), "id").mapInArrow(run, f"id {kind}, base int, grams binary")
+
+
+def _confirmed(cuts: DataFrame, spans: DataFrame, s: Settings) -> DataFrame:
+    """(id, a, b, first, c, d, share, whole) for each stretch of a span that the texts' shingles confirm, in words; whole:
+    stretches (a, b), in shingles, without a gap or a change of shift.
+
+    Cuts of a text that thousands of others are held against are dealt to as many parts as its spans need.
+    """
+    kind = cuts.schema["id"].dataType.simpleString()
+    mine = spans.select("id", "lo", "hi").distinct().withColumn("parts", F.lit(1))
+    theirs = spans.groupBy("first", "lo2", "hi2").agg(F.ceil(F.count("*") / s.together).cast("int").alias("parts"))
+    asked = mine.union(theirs).groupBy("id", "lo", "hi").agg(F.max("parts").alias("parts"))
+    asked = asked.groupBy("id").agg(F.collect_list(F.struct("lo", "hi", "parts")).alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, cols, cells = [], [], []
+            bases, grams, asks = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            for i, (base, cell, ask) in enumerate(zip(bases, grams, asks, strict=True)):
+                n = len(cell) // 4
+                for x in ask:
+                    if base <= (x["lo"] + x["hi"]) // 2 < base + n:
+                        lo, hi = max(x["lo"], base), min(x["hi"], base + n)
                         ids.append(i)
-                        lo.append(x["lo"])
-                        hi.append(x["hi"])
-                        cells.append((own[x["lo"] : x["hi"]] >> np.uint64(32)).astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ids, pa.int64())), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(cells, pa.binary())], names=["id", "lo", "hi", "grams"])
+                        cols.append((x["lo"], x["hi"], x["parts"], lo))
+                        cells.append(cell[4 * (lo - base) : 4 * (hi - base)])
+            ints = [pa.array([c[k] for c in cols], pa.int32()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *ints, pa.array(cells, pa.binary())], names=["id", "lo", "hi", "parts", "at", "grams"])
 
-    regions = C.materialise(rows.join(asked.hint("shuffle_hash"), "id").mapInArrow(fetch, f"id {kind}, lo int, hi int, grams binary"), "regions")
-    k, share, least = s.shingle, s.similarity, s.words - s.shingle + 1
+    pieces = C.materialise(cuts.join(asked.hint("shuffle_hash"), "id").mapInArrow(run, f"id {kind}, lo int, hi int, parts int, at int, grams binary"), "pieces")
+    k, share, least, variety, drift = s.shingle, s.similarity, s.run, s.variety, s.drift
 
-    @F.pandas_udf("array<struct<a:int,b:int,c:int,d:int,share:double>>")
-    def confirmed(x: pd.Series, y: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<struct<a:int,b:int,c:int,d:int,share:double,whole:array<struct<a:int,b:int>>>>")
+    def confirmed(x: pd.Series, y: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
         out = []
-        for u, v in zip(x, y, strict=True):
-            u, v = np.frombuffer(u, "<u4"), np.frombuffer(v, "<u4")
-            order = np.argsort(v, kind="stable")
-            at = np.searchsorted(v[order], u).clip(max=max(0, len(v) - 1))
-            hit = v[order[at]] == u if len(v) else np.zeros(len(u), bool)
-            found = []
+        for u, v, lo, hi in zip(x, y, low, high, strict=True):
+            cell = np.frombuffer(u, "<u4")
+            to = aligned(cell, np.frombuffer(v, "<u4"), int(lo) - drift, int(hi) + drift)
+            hit, found = to >= 0, []
             for a, b, p in segments(hit, share, least):
-                where = order[at[a:b]][hit[a:b]]
-                found.append({"a": a, "b": b + k - 1, "c": int(where.min()), "d": int(where.max()) + k, "share": float(p)})
+                if len(np.unique(cell[a:b])) < variety:
+                    continue
+                where = to[a:b][hit[a:b]]
+                step = (np.diff(to[a:b]) != 1) | ~hit[a + 1 : b] | ~hit[a : b - 1]
+                edge = np.concatenate(([0], np.flatnonzero(step) + 1, [b - a]))
+                whole = [{"a": a + int(i), "b": a + int(j)} for i, j in zip(edge[:-1], edge[1:], strict=True) if j - i >= least]
+                found.append({"a": a, "b": b + k - 1, "c": int(where.min()), "d": int(where.max()) + k, "share": float(p), "whole": whole})
             out.append(found)
         return pd.Series(out)
 
-    mine = regions.withColumnRenamed("grams", "x")
-    theirs = regions.select(F.col("id").alias("first"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("grams").alias("y"))
-    both = spans.join(mine, ["id", "lo", "hi"]).join(theirs, ["first", "lo2", "hi2"])
-    found = both.select("id", "lo", "first", "lo2", F.explode(confirmed("x", "y")).alias("s"))
-    return C.materialise(found.select("id", (F.col("lo") + F.col("s.a")).alias("a"), (F.col("lo") + F.col("s.b")).alias("b"), "first", (F.col("lo2") + F.col("s.c")).alias("c"), (F.col("lo2") + F.col("s.d")).alias("d"), "s.share"), "repeats")
+    hot = theirs.where("parts > 1")
+    dealt = spans.join(hot, ["first", "lo2", "hi2"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id", "lo"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    x = pieces.select("id", "lo", "hi", F.col("at").alias("at1"), F.col("grams").alias("x"))
+    y = pieces.select(F.col("id").alias("first"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("at").alias("at2"), F.col("grams").alias("y"))
+    both = dealt.join(x, ["id", "lo", "hi"]).join(y, ["first", "lo2", "hi2", "part"])
+    off = F.col("at1") - F.col("at2")
+    found = both.select("id", "at1", "first", "at2", F.explode(confirmed("x", "y", F.col("low") - off, F.col("high") - off)).alias("s"))
+    whole = F.transform("s.whole", lambda w: F.struct((w["a"] + F.col("at1")).alias("a"), (w["b"] + F.col("at1")).alias("b")))
+    found = C.materialise(found.select("id", (F.col("at1") + F.col("s.a")).alias("a"), (F.col("at1") + F.col("s.b")).alias("b"), "first", (F.col("at2") + F.col("s.c")).alias("c"), (F.col("at2") + F.col("s.d")).alias("d"), "s.share", whole.alias("whole")), "repeats")
+    C.discard(pieces)
+    return found
