@@ -12,6 +12,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.ship import ship
 
@@ -177,23 +179,34 @@ def by_groups(df: DataFrame, keys: list[str], order: list[str], run: Callable[[p
     Cheaper than one call for each group. A group is held in memory, so groups must be bounded by construction.
     """
 
-    def stream(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    fields = to_arrow_schema(_parse_datatype_string(schema))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         size, least = 0, rows
-        for pdf in parts:
-            held.append(pdf)
-            size += len(pdf)
+
+        def done(whole: pd.DataFrame) -> Iterator[pa.RecordBatch]:
+            out = run(whole)
+            if len(out):
+                yield from pa.Table.from_pandas(out[fields.names], fields, preserve_index=False).to_batches()
+
+        for batch in batches:  # batches may be small: they become a frame together
+            held.append(batch)
+            size += batch.num_rows
             if size < least:
                 continue
-            whole = pd.concat(held, ignore_index=True)
-            other = np.flatnonzero(~(whole[keys] == whole[keys].iloc[-1]).all(axis=1).to_numpy())
-            begin = int(other[-1]) + 1 if len(other) else 0  # the last group may go on
+            whole = pa.Table.from_batches(held)
+            last = whole.slice(size - 1)
+            other = np.zeros(size, bool)
+            for k in keys:
+                other |= ~whole[k].to_pandas().eq(last[k][0].as_py()).to_numpy()
+            begin = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0  # the last group may go on
             if begin:
-                yield run(whole.iloc[:begin])
-            held, size = [whole.iloc[begin:]], len(whole) - begin
+                yield from done(whole.slice(0, begin).to_pandas())
+            held, size = whole.slice(begin).to_batches(), size - begin
             least = max(rows, 2 * size)
         if size:
-            yield run(pd.concat(held, ignore_index=True))
+            yield from done(pa.Table.from_batches(held).to_pandas())
 
     dealt = df.repartition(width(df.sparkSession), *keys).sortWithinPartitions(*keys, *order)
-    return dealt.mapInPandas(stream, schema)
+    return dealt.mapInArrow(stream, schema)

@@ -23,6 +23,7 @@ class Settings:
     hashes: int = 4
     enough: int = 2  # hash functions that must agree on a run; at 0.8 they don't once in 37 times, for exact repeats never
     closer: int = 5  # hash functions whose pairs name the runs of a text once more, see closer
+    settled: float = 0.9  # passages confirmed so well are followed by exact names only
     drift: int = 32  # words by which matches of one passage may be shifted against each other
     grid: int = 64
     together: int = 1024  # spans that are held against one copy of a first text's cut
@@ -111,12 +112,12 @@ def _windows(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.mapInArrow(run, f"w long, f int, id {kind}, lo int, hi int, at int")
 
 
-def closer(g: np.ndarray, first: np.ndarray, live: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
+def closer(g: np.ndarray, first: np.ndarray, live: np.ndarray, fresh: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
     """Longer names for the runs that start where `live` is set: (text, name, begin, end, at), as `windows` gives them.
 
-    A run is named by all of its shingles, so an exact repeat can't meet a text that holds only a part of it, and by the
-    minima of each two of s.closer hash functions together, for repeats with edits: neighbouring runs of one such pair
-    are one window.
+    A run is named by all of its shingles, so an exact repeat can't meet a text that holds only a part of it, and, where
+    `fresh` is set too, by the minima of each two of s.closer hash functions together, for repeats with edits:
+    neighbouring runs of one such pair are one window.
     """
     t, out = s.run, []
     idx = np.flatnonzero(live[: max(0, len(g) - t + 1)])
@@ -131,8 +132,10 @@ def closer(g: np.ndarray, first: np.ndarray, live: np.ndarray, s: Settings) -> t
     back = np.cumprod(step)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(C.mix(g) * power)))
     out.append((doc, C.mix((sums[idx + t] - sums[idx]) * back[idx]).view(np.int64), idx - first[doc], idx - first[doc] + t, idx - first[doc]))
+    idx = idx[fresh[idx]]
+    doc = np.searchsorted(first, idx, side="right") - 1
     names, ats = [], []
-    for h in range(s.closer):
+    for h in range(s.closer if len(idx) else 0):
         value = C.mix(g * _A[h])
         m = _sliding_min((value & ~_LOW) | place, t)[idx]
         at = idx + (((m & _LOW) - place[idx]) & _LOW).astype(np.int64)
@@ -140,8 +143,8 @@ def closer(g: np.ndarray, first: np.ndarray, live: np.ndarray, s: Settings) -> t
         ats.append(at)
     gap = np.ones(len(idx), bool)
     gap[1:] = (np.diff(idx) != 1) | (doc[1:] != doc[:-1])
-    for h in range(s.closer):
-        for j in range(h + 1, s.closer):
+    for h in range(len(names)):
+        for j in range(h + 1, len(names)):
             new = gap.copy()
             new[1:] |= (ats[h][1:] != ats[h][:-1]) | (ats[j][1:] != ats[j][:-1])
             head = np.flatnonzero(new)
@@ -152,8 +155,8 @@ def closer(g: np.ndarray, first: np.ndarray, live: np.ndarray, s: Settings) -> t
 
 
 def _closer(left: DataFrame, s: Settings) -> DataFrame:
-    """left: (id, base, grams, open), open: ranges (lo, hi) of starts of runs to add (n = 1) or to leave out (n = -1).
-    (w, id, lo, hi, at) for each longer name of a run that is open."""
+    """left: (id, base, grams, open), open: ranges (lo, hi) of starts of runs that are shared (n = 0), confirmed nearly
+    (n = 1) or confirmed whole (n = 2). (w, id, lo, hi, at) for each longer name of a run that is open."""
     kind = left.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,17 +165,16 @@ def _closer(left: DataFrame, s: Settings) -> DataFrame:
                 own = [np.frombuffer(c, "<u4") for c in cells]
                 first = np.concatenate(([0], np.cumsum([len(c) for c in own])))
                 base = part.column(1).to_numpy()
-                live = np.zeros((2, first[-1] + 1), np.int64)
+                at = np.zeros((3, first[-1] + 1), np.int64)
                 for i, ranges in enumerate(part.column(3).to_pylist()):
                     n = len(own[i]) - s.run + 1
                     for x in ranges:
                         lo, hi = (max(0, min(n, x[e] - int(base[i]))) for e in ("lo", "hi"))
                         if lo < hi:
-                            side = 0 if x["n"] > 0 else 1
-                            live[side, first[i] + lo] += 1
-                            live[side, first[i] + hi] -= 1
-                live = np.cumsum(live, 1)[:, :-1] > 0
-                d, w, lo, hi, at = closer(C.mix(np.concatenate([*own, np.zeros(0, "<u4")]).astype(np.uint64)), first, live[0] & ~live[1], s)
+                            at[x["n"], first[i] + lo] += 1
+                            at[x["n"], first[i] + hi] -= 1
+                live, near, whole = np.cumsum(at, 1)[:, :-1] > 0
+                d, w, lo, hi, at = closer(C.mix(np.concatenate([*own, np.zeros(0, "<u4")]).astype(np.uint64)), first, live & ~whole, ~near, s)
                 yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), part.column(0).take(pa.array(d)), *(pa.array(x + base[d], pa.int32()) for x in (lo, hi, at))], names=["w", "id", "lo", "hi", "at"])
 
     return left.mapInArrow(run, f"w long, id {kind}, lo int, hi int, at int")
@@ -201,15 +203,24 @@ def _live(pdf: pd.DataFrame, s: Settings) -> pd.DataFrame:
 def _merged(pdf: pd.DataFrame, s: Settings, enough: int) -> pd.DataFrame:
     """The interval join of each pair of texts: windows that overlap at about the same shift are one span, if `enough`
     hash functions are among them. (low, high): the span's least and greatest shift."""
-    pdf = pdf.assign(shift=pdf["at"] - pdf["at2"]).sort_values(["id", "first", "shift", "lo"], kind="stable")
-    far = (pdf["shift"].diff().abs() > s.drift).to_numpy() | (pdf["id"] != pdf["id"].shift()).to_numpy() | (pdf["first"] != pdf["first"].shift()).to_numpy()
-    pdf = pdf.assign(line=np.cumsum(far)).sort_values(["line", "lo"], kind="stable")
-    top = pdf.groupby("line")["hi"].cummax().shift()
-    pdf = pdf.assign(span=np.cumsum((pdf["line"] != pdf["line"].shift()).to_numpy() | (pdf["lo"] > top).to_numpy()))
-    out = pdf.groupby("span").agg(
-        id=("id", "first"), lo=("lo", "min"), hi=("hi", "max"), first=("first", "first"), lo2=("lo2", "min"), hi2=("hi2", "max"), low=("shift", "min"), high=("shift", "max"), n=("f", "nunique")
-    )
-    return out[out["n"] >= enough].drop(columns="n")
+    (code, ids), (code2, firsts) = pd.factorize(pdf["id"]), pd.factorize(pdf["first"])
+    pair = code * (len(firsts) + 1) + code2
+    lo, hi, lo2, hi2, f = (pdf[c].to_numpy(np.int64) for c in ("lo", "hi", "lo2", "hi2", "f"))
+    shift = pdf["at"].to_numpy(np.int64) - pdf["at2"].to_numpy(np.int64)
+    order = np.lexsort((shift, pair))
+    line = np.zeros(len(pdf), np.int64)
+    line[order] = np.cumsum(np.concatenate(([True], (np.diff(pair[order]) != 0) | (np.diff(shift[order]) > s.drift))))
+    wide = hi.max() + 1
+    order = np.argsort(line * wide + lo)
+    begin, end = (line * wide + lo)[order], (line * wide + hi)[order]
+    head = np.flatnonzero(np.concatenate(([True], (begin[1:] > np.maximum.accumulate(end)[:-1]) | (np.diff(line[order]) != 0))))
+    of, low, high = order[head], np.minimum.reduceat, np.maximum.reduceat
+    each = {
+        "id": np.asarray(ids)[code[of]], "lo": lo[of], "hi": high(hi[order], head), "first": np.asarray(firsts)[code2[of]],
+        "lo2": low(lo2[order], head), "hi2": high(hi2[order], head), "low": low(shift[order], head), "high": high(shift[order], head),
+    }
+    seen = np.bitwise_or.reduceat((1 << f)[order], head)
+    return pd.DataFrame(each)[np.array([int(x).bit_count() for x in seen]) >= enough]
 
 
 def aligned(u: np.ndarray, v: np.ndarray, low: int, high: int) -> np.ndarray:
@@ -276,8 +287,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Setting
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     named = _windows(rows, s).groupBy("w").agg(F.min(F.struct("id", "at", "lo", "hi")).alias("x"), F.max("id").alias("last"), F.count("*").alias("n")).where("x.id != last")
-    shared = C.materialise(named.selectExpr("w", "n > 2 as many", *_FIRST), "names")
-    cands = _windows(rows, s).join(shared, "w").select("id", "f", "lo", "hi", "at", "first", "lo2", "hi2", "at2", "many").where("many or id != first")
+    shared = C.materialise(named.selectExpr("w", "n", *_FIRST), "names")
+    cands = _met(_windows(rows, s), shared).withColumn("many", F.col("n") > 2).select("id", "f", "lo", "hi", "at", "first", "lo2", "hi2", "at2", "many").where("many or id != first")
     schema = f"id {kind}, lo int, hi int, first {kind}, lo2 int, hi2 int, low int, high int"
 
     def held(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -293,17 +304,19 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Setting
     cuts = C.materialise(_cuts(rows, wanted.distinct(), s), "cuts")
     found = _confirmed(cuts, spans, s)
     # runs that several functions share and that weren't confirmed whole, by longer names
-    done = found.select("id", F.explode("whole").alias("w")).select("id", F.col("w.a").alias("lo"), (F.col("w.b") - s.run + 1).alias("hi"), F.lit(-1).alias("n"))
-    open_ = live.withColumn("n", F.lit(1)).unionByName(done.distinct()).groupBy("id").agg(F.collect_list(F.struct("lo", "hi", "n")).alias("open"))  # bounded by the text's length
-    left = C.materialise(cuts.join(open_.where("exists(open, x -> x.n > 0)").hint("shuffle_hash"), "id"), "open")
-    named = _closer(left, s).groupBy("w").agg(F.min(F.struct("id", "at", "lo", "hi")).alias("x"), F.max("id").alias("last")).where("x.id != last")
-    cands = _closer(left, s).join(named.selectExpr("w", *_FIRST), "w").where("id != first").select("id", F.lit(0).alias("f"), "lo", "hi", "at", "first", "lo2", "hi2", "at2")
+    whole = found.select("id", F.explode("whole").alias("w")).select("id", F.col("w.a").alias("lo"), (F.col("w.b") - s.run + 1).alias("hi"), F.lit(2).alias("n"))
+    near = found.where(F.col("share") >= s.settled).select("id", F.col("a").alias("lo"), (F.col("b") - s.words + 1).alias("hi"), F.lit(1).alias("n"))
+    open_ = live.withColumn("n", F.lit(0)).unionByName(whole.union(near).distinct()).groupBy("id").agg(F.collect_list(F.struct("lo", "hi", "n")).alias("open"))  # bounded by the text's length
+    left = C.materialise(cuts.join(open_.where("exists(open, x -> x.n = 0)").hint("shuffle_hash"), "id"), "open")
+    named = _closer(left, s).groupBy("w").agg(F.min(F.struct("id", "at", "lo", "hi")).alias("x"), F.max("id").alias("last"), F.count("*").alias("n")).where("x.id != last")
+    longer = C.materialise(named.selectExpr("w", "n", *_FIRST), "longer-names")
+    cands = _met(_closer(left, s), longer).where("id != first").select("id", F.lit(0).alias("f"), "lo", "hi", "at", "first", "lo2", "hi2", "at2")
     again = C.materialise(C.by_groups(cands, ["id"], ["first", "lo"], lambda pdf: _merged(pdf, s, 1), schema), "again")
     more = _confirmed(cuts, _on_grid(again, s), s)
     # windows that reach beyond a passage can have a later first occurrence: the earliest one counts
     best = found.union(more).groupBy("id", "a", "b").agg(F.min(F.struct("first", (-F.col("share")).alias("s"), "c", "d")).alias("x"))
     best = C.materialise(best.select("id", "a", "b", "x.*"), "best")
-    C.discard(shared, both, cuts, left, again, found, more)
+    C.discard(shared, both, cuts, left, longer, again, found, more)
     later = best.select(F.col("id").alias("key"), F.col("a").alias("begin"), F.col("b").alias("end"), "first", (-F.col("s")).alias("similarity"), F.lit(False).alias("kept"))
     origin = best.select(F.col("first").alias("key"), F.col("c").alias("begin"), F.col("d").alias("end")).distinct()
     return later.union(origin.select("key", "begin", "end", F.col("key").alias("first"), F.lit(1.0).alias("similarity"), F.lit(True).alias("kept")))
@@ -312,6 +325,16 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Setting
 _FIRST = ("x.id as first", "x.at as at2", "x.lo as lo2", "x.hi as hi2")
 
 
+def _met(windows: DataFrame, names: DataFrame, most: int = 1024, parts: int = 64) -> DataFrame:
+    """Windows joined to their names. Names with more than 1 / most of all windows, thus at most `most`, are broadcast to
+    the windows, which deals their rows to several tasks."""
+    total = names.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(names.where(F.col("n") > total / most).select("w", F.lit(True).alias("hot")))
+    left = windows.join(hot, "w", "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).otherwise(0)).drop("hot")
+    each = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(names.join(hot, "w", "left").select("*", F.explode(each).alias("part")).drop("hot"), ["w", "part"])
+
+
 def _on_grid(spans: DataFrame, s: Settings) -> DataFrame:
     """The first text's side on a grid, so that a passage that many texts repeat is cut out a few times only."""
     grid = F.lit(s.grid)
