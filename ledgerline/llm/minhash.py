@@ -25,6 +25,7 @@ class Settings:
     batch: int = 25  # hashes compared before each look at the posterior
     miss: float = 1e-6  # a pair is dropped when its similarity is high enough with less than this probability
     block: int = 256  # rows of a bucket that are compared with as many at once
+    cells: int = 4_000_000  # shingles of these rows together
 
     @property
     def hashes(self) -> int:
@@ -80,6 +81,11 @@ def sets_of(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
+def digest(cell: bytes) -> bytes | None:
+    """The name of a set; none for the empty one."""
+    return hashlib.blake2b(cell, digest_size=16).digest() if cell else None
+
+
 def signature(x: np.ndarray, n: int) -> bytes:
     out = np.full(n, 2**32 - 1, np.uint32)
     for i in range(0, len(x), 4096):
@@ -101,7 +107,7 @@ def profiles(docs: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
                     [
                         part.column(0),
                         pa.array([len(x) for x in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
+                        pa.array([digest(x.tobytes()) for x in sets], pa.binary()),
                         pa.array([signature(x, s.hashes) if len(x) else None for x in sets], pa.binary()),
                     ],
                     names=["key", "n_shingles", "class", "sig"],
@@ -111,30 +117,33 @@ def profiles(docs: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
 
 
 def _banded(members: DataFrame, s: Settings) -> DataFrame:
-    """(bucket, id, n, head): the classes of each bucket with several; head: the one with the most copies.
+    """(bucket, node, n, cells, head): the classes of each bucket with several; head: the one with the most copies.
 
     Counts are written before they are joined back: both sides of the join are then plain shuffles, of which Spark can
     split a hot bucket's.
     """
     each = [F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("sig", 1 + 4 * s.rows * i, 4 * s.rows)).alias("bucket")) for i in range(s.bands)]
-    spread = members.select(F.explode(F.array(*each)).alias("e"), "id", "copies").select("e.band", "e.bucket", "id", "copies")
+    spread = members.select(F.explode(F.array(*each)).alias("e"), "node", "copies", "n_shingles").select("e.band", "e.bucket", "node", "copies", "n_shingles")
     spread = C.materialise(spread, "bands")
-    heads = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.max_by("id", F.struct("copies", F.xxhash64("id"))).alias("head")).where("n > 1")
-    return C.materialise(spread.select("band", "bucket", "id").join(C.materialise(heads, "heads"), "bucket"), "buckets")
+    heads = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("cells"), F.max_by("node", F.struct("copies", F.xxhash64("node"))).alias("head")).where("n > 1")
+    heads = C.materialise(heads, "heads")
+    out = C.materialise(spread.select("band", "bucket", "node").join(heads, "bucket"), "buckets")
+    C.discard(spread, heads)
+    return out
 
 
-def _sets(docs: DataFrame, ids: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
-    """(id, set): shingle sets of the classes that `ids` names, from the whole texts of their representatives."""
-    kind = docs.schema[key].dataType.simpleString()
+def _sets(docs: DataFrame, named: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
+    """(node, set): shingle sets of the classes (node, id) in `named`, from the whole texts of their smallest key."""
+    ids = named.select("id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in C.blocks(batch, "text"):
+            for _, texts in C.blocks(batch, "text"):
                 cells = [x.tobytes() for x in sets_of(texts, s.shingle)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(digest, cells)), pa.binary()), pa.array(cells, pa.binary())], names=["node", "set"])
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids.hint("shuffle_hash"), "id", "left_semi")
-    return rows.mapInArrow(run, f"id {kind}, set binary")
+    return rows.select("text").mapInArrow(run, "node binary, set binary").where("node is not null").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -156,7 +165,7 @@ def _verified(pairs: DataFrame, members: DataFrame, sets: DataFrame, s: Settings
             out.append(den * both >= num * (len(u) + len(v) - both))
         return pd.Series(out, dtype=bool)
 
-    side = lambda df, of, to: df.select(F.col("id").alias(to), F.col(of).alias(f"{of}_{to}"))
+    side = lambda df, of, to: df.select(F.col("node").alias(to), F.col(of).alias(f"{of}_{to}"))
     kept = pairs.join(side(members, "sig", "a"), "a").join(side(members, "sig", "b"), "b").where(likely("sig_a", "sig_b")).select("a", "b")
     return kept.join(side(sets, "set", "a"), "a").join(side(sets, "set", "b"), "b").where(similar("set_a", "set_b")).select("a", "b")
 
@@ -165,24 +174,25 @@ def _across(banded: DataFrame, members: DataFrame, sets: DataFrame, label: DataF
     """(a, b): links between classes that share a bucket and aren't connected yet.
 
     Only buckets with several components are left, and not those of two classes, which were held against each other
-    before. A bucket's rows are dealt to blocks of about `block` rows; each pair of blocks is one group, so no group
-    grows with the bucket. Within it, pairs that survive the looks at their signatures are verified on their sets, at
-    the first band they share; a link joins two components, whose other pairs then need no look. So links come out, and
-    no lists of pairs, however large a group of near copies is.
+    before. A bucket's rows are dealt to blocks of about `block` rows and `cells` shingles; each pair of blocks is one
+    group, so no group grows with the bucket. Within it, pairs that survive the looks at their signatures are verified on
+    their sets, at the first band they share; a link joins two components, whose other pairs then need no look. So links
+    come out, and no lists of pairs, however large a group of near copies is.
     """
     looks, num = least_matches(s), round(s.similarity * 100)
-    named = banded.where("n > 2").join(label.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = banded.where("n > 2").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    rows = named.join(C.materialise(mixed, "mixed"), "bucket").withColumn("g", F.ceil(F.col("n") / s.block).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id", "bucket"), F.col("g")).cast("int"))
-    rows = rows.join(members.select("id", "sig"), "id").join(sets, "id")
-    rows = rows.select("band", "bucket", "id", "label", "sig", "set", "own", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
-    rows = rows.select("band", "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "label", "sig", "set")
-    kind, width = rows.schema["id"].dataType.simpleString(), s.rows
+    split = F.greatest(F.ceil(F.col("n") / s.block), F.ceil(F.col("cells") / s.cells)).cast("int")
+    rows = named.join(C.materialise(mixed, "mixed"), "bucket").withColumn("g", split)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("g")).cast("int"))
+    rows = rows.join(members.select("node", "sig"), "node").join(sets, "node")
+    rows = rows.select("band", "bucket", "node", "label", "sig", "set", "own", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
+    rows = rows.select("band", "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label", "sig", "set")
+    width = s.rows
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
-        ids, own, sets, band = pdf["id"].to_numpy(), pdf["own"].to_numpy(), pdf["set"].to_list(), int(pdf["band"].iloc[0])
+        ids, own, sets, band = pdf["node"].to_list(), pdf["own"].to_numpy(), pdf["set"].to_list(), int(pdf["band"].iloc[0])
         x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
         group = pd.factorize(pdf["label"])[0]
@@ -208,36 +218,48 @@ def _across(banded: DataFrame, members: DataFrame, sets: DataFrame, label: DataF
                     found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return rows.groupBy("bucket", "x", "y").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+    return rows.groupBy("bucket", "x", "y").applyInPandas(compare, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Settings | None = None) -> DataFrame:
     """(key, n_shingles, component, kept) for every row; component: the smallest key that links reach, itself included.
 
-    Rows whose shingle sets are equal are one class, named after its smallest key, so copies never meet in pairs.
+    Rows whose shingle sets are equal are one class, named by a digest of the set, so copies never meet in pairs.
     Classes that share a band are candidates. First each is held against one leader of its bucket, the class with the
     most copies: linear work, which joins most of a large group. What shares a bucket but is still apart is then compared
     in blocks, so that no link between different texts is lost. Links are confirmed on the full sets.
 
     Null, empty and blank texts: no shingles, linked with nothing. Null keys: component null, not kept. Rows of one key
-    are one document. Empty table: no rows.
+    are one document, which links through each of its texts; of repeated rows all have the same result. Very long texts:
+    whole sets, in blocks bounded by their size. Empty table: no rows.
     """
     s = s or Settings()
-    spark = docs.sparkSession
     rows = C.materialise(profiles(docs, key, text, s), "profiles")
-    # equal sets: a class is named after its smallest key; the signature comes along with one of its rows
-    own = rows.where("class is not null and key is not null").groupBy("class").agg(F.min("key").alias("id"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
-    members = C.materialise(own.groupBy("id").agg(F.sum("copies").alias("copies"), F.first("sig").alias("sig")), "classes")
+    able = rows.where("class is not null and key is not null").withColumnRenamed("class", "node")
+    own = able.groupBy("node").agg(F.min("key").alias("id"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    members = C.materialise(own, "classes")
     banded = _banded(members, s)
-    sets = C.materialise(_sets(docs, banded.select("id").distinct(), key, text, s), "sets")
+    sets = C.materialise(_sets(docs, members.join(banded.select("node").distinct(), "node", "left_semi"), key, text, s), "sets")
 
-    star = banded.where("id != head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+    star = banded.where("node != head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     links = C.materialise(_verified(star, members, sets, s), "links")
     label = C.components(links)
-    found = _across(banded, members, sets, label, s)
-    label = C.components(links.union(found))
-
-    named = own.select("class", "id").join(label.select(F.col("node").alias("id"), "label"), "id", "left").select("class", F.coalesce("label", "id").alias("component"))
-    out = rows.select("key", "n_shingles", "class").join(named, "class", "left")
-    component = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
+    found = C.materialise(_across(banded, members, sets, label, s), "across")
+    # texts of one key belong together
+    several = able.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z")
+    same = able.join(several, "key").where("a != node").select("a", F.col("node").alias("b")).distinct()
+    label = C.components(links.union(found).union(same))
+
+    # classes that need a name other than their row's key: joined or with copies
+    named = members.select("node", "id", "copies").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = named.groupBy("label").agg(F.min("id").alias("component"), F.sum("copies").alias("n")).where("n > 1")
+    named = C.materialise(named.select("node", "label", "copies").join(least, "label").select("node", "component", "copies"), "components")
+    total = named.agg(F.sum("copies")).first()[0] or 0
+    hot = F.broadcast(named.where(F.col("copies") > total / 1024).select(F.col("node").alias("class"), F.col("component").alias("hot")))  # at most 1024 rows
+    # rows of hot classes have their name already and, like rows without words, are dealt by their key instead
+    out = rows.select("key", "n_shingles", "class").join(hot, "class", "left")
+    out = out.withColumn("node", F.coalesce(F.when(F.col("hot").isNull(), F.col("class")), F.unhex(F.md5(F.xxhash64("key").cast("string").cast("binary")))))
+    out = out.join(named.select("node", "component"), "node", "left")
+    component = F.when(F.col("key").isNotNull(), F.coalesce("hot", "component", "key"))
+    C.discard(banded, sets, links, found)
     return out.select("key", "n_shingles", component.alias("component"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
