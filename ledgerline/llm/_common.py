@@ -158,12 +158,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges, before = materialise(edges, "edges"), None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "low")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, first = edges, materialise(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "low")
+        large = both.where("v > u").join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.where("u != v").distinct(), "large")
         low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         edges = materialise(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(old, first, large, low)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -41,10 +41,35 @@ def split_item(text: str) -> tuple[str, str]:
     return " ".join(words[:-k]), " ".join(words[-k:])
 
 
+class Corpus:
+    """Statistics of all items: their number and mean length, and in how many of them a term is. The latter stay a table,
+    of which each index asks for its own terms."""
+
+    def __init__(self, items: DataFrame, text: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, texts in C.blocks(batch, "text"):
+                    parts = [split_item(t.decode()) for t in texts]
+                    _, _, h, first = C.hash_words([f"{q} {a}".encode() for q, a in parts], C.NOT_ALNUM)
+                    own = [np.unique(h[a:b]).view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.diff(first), pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["size", "terms"])
+
+        rows = C.materialise(items.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInArrow(run, "size long, terms array<long>").where("size > 0"), "items")
+        r = rows.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
+        self.n, self.mean = r["n"], r["mean"] or 1.0
+        self.table = C.materialise(rows.select(F.explode("terms").alias("h")).groupBy("h").agg(F.count("*").alias("df")), "items-with-term")
+
+    def df(self, terms: np.ndarray) -> np.ndarray:
+        spark = self.table.sparkSession
+        asked = spark.createDataFrame(pa.table({"h": terms.view(np.int64)}))
+        got = dict(self.table.join(asked, "h").toPandas().itertuples(index=False, name=None))
+        return np.array([got[h] for h in terms.view(np.int64).tolist()], np.int64)
+
+
 class Index:
     """Postings by term, in order of items: impacts are BM25 contributions divided by the item's score against itself."""
 
-    def __init__(self, items: list[tuple[object, str]], s: Settings):
+    def __init__(self, items: list[tuple[object, str]], s: Settings, corpus: Corpus | None = None):
         self.s, self.ids = s, [i for i, _ in items]
         parts = [split_item(t) for _, t in items]
         _, _, h, first = C.hash_words([f"{q} {a}".encode() for q, a in parts], C.NOT_ALNUM)
@@ -55,9 +80,10 @@ class Index:
         self.terms, code = np.unique(h, return_inverse=True)
         pair, tf = np.unique(code.astype(np.int64) * len(items) + item, return_counts=True) if len(h) else (np.zeros(0, np.int64), np.zeros(0))
         term, at = (pair // max(1, len(items)), pair % max(1, len(items)))
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * sizes / max(1e-9, sizes.mean() if len(sizes) else 1))
+        df = corpus.df(self.terms) if corpus else np.bincount(term, minlength=len(self.terms))
+        n, mean = (corpus.n, corpus.mean) if corpus else (len(items), sizes.mean() if len(sizes) else 1)
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * sizes / max(1e-9, mean))
         impact = idf[term] * tf * (K1 + 1) / (tf + norm[at])
         own = np.bincount(at, impact, minlength=len(items))
         impact = impact / own[at]
@@ -167,26 +193,29 @@ class Index:
 
 
 def indexes(items: DataFrame, item: str = "item_id", text: str = "text", s: Settings | None = None) -> Iterator[Index]:
-    """Indexes of bounded parts of the items, one after another. Null and wordless items are left out."""
+    """Indexes of bounded parts of the items, one after another, with the statistics of all: an item's scores don't depend
+    on its part. Null and wordless items are left out."""
     s = s or Settings()
+    corpus = Corpus(items, text)
     part, size = [], 0
     for r in items.where(F.col(text).isNotNull()).select(item, text).orderBy(item, text).toLocalIterator():
         if not len(C.hash_words([r[1].encode()], C.NOT_ALNUM)[2]):
             continue
         if part and (len(part) >= s.shard_items or size + len(r[1]) > s.shard_bytes):
-            yield Index(part, s)
+            yield Index(part, s, corpus)
             part, size = [], 0
         part.append((r[0], r[1]))
         size += len(r[1])
     if part:
-        yield Index(part, s)
+        yield Index(part, s, corpus)
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", s: Settings | None = None) -> DataFrame:
     """(key, item, score, question_overlap, answer_overlap, first_word, last_word): every item that a text holds.
 
     Every passage of every text is a query. One index at a time is broadcast, of bounded size; more items mean more
-    passes over the texts, not a larger broadcast. Null and empty texts, and empty tables, give no rows. Repeated rows
+    passes over the texts, not a larger broadcast. Null and empty texts, and empty tables, give no rows.
+    Null keys are reported as such; very long texts are searched whole, passage by passage; ties in score all count. Repeated rows
     of docs give their rows again; equal items each have their own.
     """
     spark = docs.sparkSession

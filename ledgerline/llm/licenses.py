@@ -54,12 +54,14 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, key: str
     """(key, n_words, n_exact, first_word, last_word, exact_labels, labels, score, spans) for every row.
 
     Native throughout. All rolling k-grams of the words are joined to the templates' positions: as many rows as the
-    templates have words, broadcast. Only hits leave a task, a row each; they are counted by diagonal (place in the text
-    minus place in the template), diagonals of one template up to DRIFT apart are merged, and spans that cover enough
-    are kept. k-grams are compared by hash and then as words, so no span rests on a hash alone.
+    templates have words, broadcast. Only hits leave a task, a row each; they vote by diagonal (place in the text minus
+    place in the template) for the template's places, of which each counts once, however often the text has it. A
+    diagonal is joined with those up to DRIFT beyond it, so a span can't drift further than that, and spans that cover
+    enough are kept. k-grams are compared by hash and then as words, so every vote is verified.
 
     score: the largest share covered, 0 to 1. spans: (start, end, label, cover), in words. Null and empty texts: no
-    words, no spans, score 0. Repeated rows: each by itself.
+    words, no spans, score 0. Repeated rows and null keys: each row by itself. Very long texts are scanned whole; ties:
+    every template has its own spans. Empty table: no rows.
     """
     spark = docs.sparkSession
     places, sizes = [], []
@@ -77,19 +79,28 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, key: str
     hits = grams.join(F.broadcast(at), same, "left").where("template is not null or pos = 0")
     hits = hits.select("key", "row", "n_words", "template", (F.col("pos") - F.col("place")).alias("diagonal"), "place")
 
-    by = hits.groupBy("key", "row", "n_words", "template", "diagonal").agg(F.count("place").alias("votes"), F.min("place").alias("low"), F.max("place").alias("high"))
+    # votes: the distinct places of the template, as bits
+    bits = [f"votes_{i}" for i in range(0, max((n for *_, n in sizes), default=1), 60)]
+    vote = [F.bit_or(F.expr(f"if(place div 60 = {i}, shiftleft(1L, place % 60), 0L)")).alias(b) for i, b in enumerate(bits)]
+    by = hits.groupBy("key", "row", "n_words", "template", "diagonal").agg(*vote, F.min("place").alias("low"), F.max("place").alias("high"))
     by = by.join(F.broadcast(about), "template", "left")
-    own = Window.partitionBy("row", "template").orderBy("diagonal")
-    gap = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(own), F.lit(0))
-    apart = by.withColumn("new", (F.col("exact") | (gap > DRIFT)).cast("int"))
-    runs = apart.withColumn("run", F.sum("new").over(own))
-    spans = runs.groupBy("key", "row", "n_words", "template", "run", "label", "exact", "size").agg(
-        F.sum("votes").alias("votes"), F.min(F.col("diagonal") + F.col("low")).alias("start"), F.max(F.col("diagonal") + F.col("high") + K).alias("end")
+    lines = Window.partitionBy("row", "template").orderBy("diagonal")
+    near = lines.rangeBetween(0, DRIFT)  # a diagonal with those up to DRIFT beyond it
+    joined = lambda f, c: F.when(F.col("exact"), c).otherwise(f(c).over(near))
+    spans = by.select(
+        "key", "row", "n_words", "template", "diagonal", "label", "exact", "size", *(joined(F.bit_or, F.col(b)).alias(b) for b in bits),
+        joined(F.min, F.col("diagonal") + F.col("low")).alias("start"), joined(F.max, F.col("diagonal") + F.col("high") + K).alias("end"),
+    )
+    votes = sum((F.bit_count(b) for b in bits[1:]), F.bit_count(bits[0]))
+    spans = spans.withColumn("cover", F.when(F.col("template").isNotNull(), votes / (F.col("size") - (K - 1))).otherwise(0.0))
+    # kept diagonals next to each other are one span
+    good = F.col("cover") >= F.when(F.col("exact"), 1.0).otherwise(cover)
+    gap = F.col("diagonal") - F.last(F.when(good, F.col("diagonal")), ignorenulls=True).over(lines.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.coalesce(F.col("exact") | (gap > DRIFT), F.lit(True))
+    spans = spans.withColumn("run", F.sum((good & first).cast("int")).over(lines)).groupBy("key", "row", "n_words", "template", "label", "exact", good.alias("good"), "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.max("cover").alias("cover")
     )
-    share = F.least(F.col("votes") / (F.col("size") - (K - 1)), F.lit(1.0))
-    spans = spans.withColumn("cover", F.when(F.col("template").isNotNull(), share).otherwise(0.0))
-    full = F.col("exact") & (F.col("cover") >= 1.0)
-    kept = full | (~F.col("exact") & (F.col("cover") >= cover))
+    full, kept = F.col("exact") & F.col("good"), F.coalesce("good", F.lit(False))
     join = lambda ok: F.array_join(F.array_sort(F.collect_set(F.when(ok, F.col("label")))), ",")
     return spans.groupBy("row", "key").agg(
         F.max("n_words").cast("long").alias("n_words"),

@@ -52,8 +52,9 @@ def op6_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_rollup(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
-    """Documents are loaded in batches with a rough count (a quarter of their bytes), then revised to the tokenizer's, and
-    those without a token are deleted; a batch is committed twice. The totals are the tokenizer's over all documents."""
+    """Documents are loaded in batches with a rough count (a quarter of their bytes), then revised to the tokenizer's; a
+    batch is committed twice, and one is loaded again under another name and deleted. The totals are the tokenizer's over
+    all documents, those without text included."""
     import public_tokenizers as P
 
     version = "byte_bpe_50k"
@@ -70,7 +71,8 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str, batches: int = 4) -> Data
     store.compact()
     store.commit("revise", token_counts.revised(rough, exact))
     store.commit("load-0", token_counts.signed(rough.where(part == 0), 1))
-    store.commit("empty", token_counts.signed(exact.where("tokens = 0"), -1))
+    store.commit("again", token_counts.signed(exact.where(part == 1), 1))
+    store.commit("delete", token_counts.signed(exact.where(part == 1), -1))
     return store.totals().select("source", F.col("language").alias("lang"), F.col("version").alias("tokenizer_version"), "docs", "tokens")
 
 

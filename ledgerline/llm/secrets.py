@@ -124,19 +124,20 @@ def _holds(query, bit: dict[str, tuple[str, int]]) -> Column:
 
 
 def postings(docs: DataFrame, wanted: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, trigram): the wanted trigrams' posting lists over the lower-cased texts; trigram is its place in `wanted`."""
-    low = docs.select(F.col(key).alias("key"), F.lower(text).alias("low"))
+    """(key, digest, trigram): the wanted trigrams' posting lists over the lower-cased texts; trigram is its place in
+    `wanted`. digest: a hash of the text, so that texts without a key, or of one key, are apart."""
+    low = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("digest"), F.lower(text).alias("low"))
     has = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(wanted))))
-    return low.select("key", F.explode(has).alias("trigram"))
+    return low.select("key", "digest", F.explode(has).alias("trigram"))
 
 
 def candidates(lists: DataFrame, wanted: list[str], demands: list) -> DataFrame:
-    """(key, rules): for each key the numbers of the demands that its postings meet, as bits. Keys that meet none are absent."""
+    """(key, digest, rules): for each text the numbers of the demands that its postings meet, as bits. Texts that meet none are absent."""
     words = {f"w{k}": range(k * 60, min(len(wanted), (k + 1) * 60)) for k in range((len(wanted) + 59) // 60)}
     bit = {wanted[i]: (w, i - own.start) for w, own in words.items() for i in own}
     own = [F.bit_or(F.when(F.col("trigram").between(r.start, r.stop - 1), F.expr(f"shiftleft(1L, trigram - {r.start})")).otherwise(F.lit(0).cast("long"))).alias(w) for w, r in words.items()]
     met = reduce(Column.bitwiseOR, [F.when(_holds(q, bit), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, q in enumerate(demands) if q is not True])
-    return lists.groupBy("key").agg(*own).select("key", met.alias("rules")).where("rules != 0")
+    return lists.groupBy("key", "digest").agg(*own).select("key", "digest", met.alias("rules")).where("rules != 0")
 
 
 def _spans(rule: Rule, order: int) -> Column:
@@ -170,14 +171,14 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
     the patterns of the rules it is a candidate for, and those of rules without mandatory trigrams. Candidates aren't
     broadcast, as they grow with the table.
 
-    Null text: empty, no spans. Rows of one key but different texts: candidates together, verified each by itself.
-    Null keys are one key.
+    Null and empty text: empty, no spans. Rows of one key, repeated rows and null keys: each row by itself. Ties: spans
+    that start together stand in the rules' order. Very long texts are searched whole. Empty table: no rows.
     """
     demands = [trigram_query(r.pattern) for r in rules]
     wanted = sorted(set().union(*map(trigrams, demands)))
-    found = candidates(postings(docs, wanted, key, text), wanted, demands).withColumnRenamed("key", "_key")
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept"))
-    rows = rows.join(found.hint("shuffle_hash"), rows["key"].eqNullSafe(found["_key"]), "left")
+    found = candidates(postings(docs, wanted, key, text), wanted, demands).withColumnsRenamed({"key": "_key", "digest": "_digest"})
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(text).alias("digest"), F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept"))
+    rows = rows.join(found.hint("shuffle_hash"), (rows["digest"] == found["_digest"]) & rows["key"].eqNullSafe(found["_key"]), "left")
     none = F.array().cast("array<struct<start:bigint,ord:int,kind:string,end:bigint>>")
     each = []
     for i, (rule, q) in enumerate(zip(rules, demands, strict=True)):

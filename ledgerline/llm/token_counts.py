@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +33,8 @@ def byte_bpe(path: str, pattern: str) -> Callable[[], Callable[[list[str]], list
 
 
 def counts(docs: DataFrame, make: Callable, version: str, key: str = "doc_id", text: str = "text", source: str = "source", language: str = "lang") -> DataFrame:
-    """(key, source, language, version, tokens) for every row. Null text: 0 tokens. Null source or language: a group of its own."""
+    """(key, source, language, version, tokens) for every row. Null and empty text: 0 tokens. Null source
+    or language: a group of its own. Repeated rows and null keys count each. Empty table: no rows."""
     C.small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
@@ -103,16 +104,20 @@ class Rollup:
         return path, [r[0] for r in self.spark.read.schema("batch string").parquet(f"{path}-names").collect()]
 
     def compact(self) -> None:
-        """Write all batches so far as one total."""
-        names, (_, old) = self.batches(), self._base()
-        n = f"{self.path}/bases/{len([x for x in self._done('bases') if not x.endswith('-names')]):08d}"
-        self.spark.createDataFrame([(x,) for x in sorted({*names, *old})], "batch string").write.mode("overwrite").parquet(f"{n}-names")
-        self.totals().coalesce(1).write.mode("overwrite").parquet(n)
+        """Write all batches so far as one total. Its names and its sums come from one listing, so a batch committed in the
+        meantime is in neither."""
+        names, (base, old) = self.batches(), self._base()
+        total = self._sum(base, [b for b in names if b not in old])
+        n = f"{self.path}/bases/{len([x for x in self._done('bases') if not x.endswith('-names')]):08d}-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(x,) for x in sorted({*names, *old})], "batch string").write.parquet(f"{n}-names")
+        total.coalesce(1).write.parquet(n)
+
+    def _sum(self, base: str | None, batches: list[str]) -> DataFrame:
+        paths = [f"{self.path}/batches/{b}" for b in batches] + ([base] if base else [])
+        rows = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
+        return rows.groupBy(*BY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs != 0 or tokens != 0")
 
     def totals(self) -> DataFrame:
-        """(source, language, version, docs, tokens); groups whose documents are all gone are absent."""
+        """(source, language, version, docs, tokens); groups whose documents are all gone are absent. No batches: no rows."""
         base, held = self._base()
-        paths = [f"{self.path}/batches/{b}" for b in self.batches() if b not in held] + ([base] if base else [])
-        parts = [self.spark.read.schema(DELTA).parquet(p) for p in paths] or [self.spark.createDataFrame([], DELTA)]
-        total = reduce(DataFrame.unionByName, parts).groupBy(*BY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return total.where("docs != 0 or tokens != 0")
+        return self._sum(base, [b for b in self.batches() if b not in held])

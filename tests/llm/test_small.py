@@ -197,5 +197,18 @@ def test_rollup_is_a_recount(spark, tmp_path):
         store.commit("../x", counted)
 
 
-def test_digest_of_no_spans():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+def test_batch_committed_while_compacting(spark, tmp_path, monkeypatch):
+    """A batch that is committed between the two listings of a compaction counts once."""
+    rows = lambda n, t: spark.createDataFrame([("s", "en", "v", n, t)], token_counts.DELTA)
+    store = token_counts.Rollup(spark, f"file://{tmp_path}/store")
+    store.commit("a", rows(1, 10))
+    listed = store._base
+
+    def late():
+        monkeypatch.setattr(store, "_base", listed)
+        token_counts.Rollup(spark, store.path).commit("b", rows(1, 5))
+        return listed()
+
+    monkeypatch.setattr(store, "_base", late)
+    store.compact()
+    assert [(r["docs"], r["tokens"]) for r in store.totals().collect()] == [(2, 15)]
