@@ -10,8 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names; an own one on one machine only."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return path or "file://" + os.environ.setdefault("LEDGERLINE_SCRATCH", tempfile.mkdtemp(prefix="ledgerline-"))
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if "LEDGERLINE_SCRATCH" not in os.environ:
+        os.environ["LEDGERLINE_SCRATCH"] = tempfile.mkdtemp(prefix="ledgerline-")
+    return "file://" + os.environ["LEDGERLINE_SCRATCH"]
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

@@ -134,7 +134,7 @@ _EVENTS = """o as (select o_custkey, list({'title': 't' || o_orderkey, 'url': 'h
 
 def _text_pairs() -> str:
     stops = _list(sorted(DEMO.stop_words))
-    return rf"""with tok as (select doc_id, unnest(regexp_extract_all(lower(regexp_replace(substr(text, 1, 300), '[^\x00-\x7F]', ' ', 'g')), '\b\w\w+\b')) t from documents),
+    return rf"""with tok as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}_][\p{{L}}\p{{N}}\p{{M}}_]+')) t from documents),
  tf as (select doc_id, t, count(*) tf from tok where t not in {stops} group by 1, 2), df as (select t, count(*) df from tf group by 1), n as (select count(*) n from documents),
  w as (select doc_id, t, tf * (ln((1 + n) / (1 + df)) + 1) w from tf join df using (t), n), l as (select doc_id, sqrt(sum(w * w)) l from w group by 1), u as (select doc_id, t, w / l w from w join l using (doc_id))
  select a.doc_id i, b.doc_id j, round(sum(a.w * b.w), 6) cosine from u a join u b on a.t = b.t and a.doc_id < b.doc_id group by 1, 2 having sum(a.w * b.w) >= 0.82"""
@@ -165,11 +165,12 @@ def oracle_sql() -> dict[str, str]:
         "url_canonical": _CANONICAL,
         "url_domain": _DOMAIN,
         "title_normalize": f"select doc_id, {_normal(_TITLE)} as normalized_title from documents",
-        "title_display": r"select doc_id, trim(regexp_replace(substr(text, 1, 30) || ' | ' || source, '\s+(?:-|\|)\s+.{1,45}$', '')) as display_title from documents",
+        "title_display": r"select doc_id, trim(regexp_replace(text || ' | ' || source, '\s+(?:-|\|)\s+.{1,45}$', '')) as display_title from documents",
         "snippet_clean": f"select page_id, {_CLEAN_PAGE} as snippet from pages",
         "accent_fold": r"select doc_id, md5(regexp_replace(strip_accents(regexp_replace(text, '[^\x00-\x7FÀ-ÖØ-öù-ÿñ]', '', 'g')), '[^\x00-\x7F]', '', 'g')) as folded_md5 from documents",
         "word_counts": r"select doc_id, cast(len(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g'), '\b[\w$€£₹.-]+\b')) as integer) as n_words from documents",
         "lookback_filter": "select event_id, event_type from events, (select max(ts) m from events) where ts >= m - interval 7 day and ts <= m + interval 1 day",
+        "dedupe_repeated": f"select canonical_url, 3 * count(*) as n, 1 as n_canonical, 3 * count(*) as n_ids from ({_CANONICAL}) where canonical_url <> '' group by 1",
         "dedupe_exact_url": f"{_BY_URL} select {_STATUS.format('exact_url')}",
         "dedupe_exact_title": f"{_BY_TITLE} select {_STATUS.format('exact_title_14d')}",
         "dedupe_similar_text": _similar_text(),

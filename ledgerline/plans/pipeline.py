@@ -16,7 +16,7 @@ from ..operators.cleaning import apply_cleaning, in_timespan, timespan_label
 from ..operators.clustering import candidates, cluster_deals
 from ..operators.dedupe import dedupe
 from ..operators.scoring import score_articles
-from ..schema import ARTICLE, align, empty_articles
+from ..schema import ARTICLE, align, empty_articles, numbered
 from ..sources.parsers import KEYED
 
 
@@ -32,7 +32,7 @@ class Run:
 
 def process(raw: DataFrame, config: Config | None = None) -> DataFrame:
     """Clean, flag duplicates, score: every row stays. Written once, as clustering and sinks both read it."""
-    clean = written(apply_cleaning(align(raw)), "clean")
+    clean = written(apply_cleaning(numbered(align(raw))), "clean")
     return written(score_articles(dedupe(clean, config), config), "processed")
 
 

@@ -17,6 +17,7 @@ from ..functions.similarity import cosine_pairs, fuzzy_pairs, tfidf
 from ..operators import clustering, dedupe, scoring
 from ..operators.brief import brief_order, top_categories
 from ..operators.cleaning import apply_cleaning
+from ..schema import align, numbered
 from ..sources.sinks import cells, clusters_flat, evidence, rejected_or_duplicate, search
 from ..streaming.articles import windowed_counts
 
@@ -80,7 +81,7 @@ def title_normalize(spark, sf):
 
 
 def title_display(spark, sf):
-    return _read(spark, sf, "documents").select("doc_id", T.display_title(F.concat(F.substring("text", 1, 30), F.lit(" | "), "source")).alias("display_title"))
+    return _read(spark, sf, "documents").select("doc_id", T.display_title(F.concat("text", F.lit(" | "), "source")).alias("display_title"))
 
 
 def snippet_clean(spark, sf):
@@ -112,6 +113,16 @@ def dedupe_exact_title(spark, sf):
     return out.select("article_id", "dedupe_status", "dedupe_reason", "duplicate_of")
 
 
+def dedupe_repeated(spark, sf):
+    """Articles that three queries return, without ids: one row of each address stays canonical."""
+    once = page_articles(spark, sf).withColumns({"article_id": F.lit(None).cast("string"), "row_idx": F.lit(None).cast("long")})
+    rows = once.withColumn("query", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("b"))))
+    out = dedupe.exact_url(dedupe.fresh(apply_cleaning(numbered(align(rows)))))
+    live = F.col("dedupe_status") == "canonical"
+    by = out.groupBy("canonical_url").agg(F.count("*").alias("n"), F.count_if(live).alias("n_canonical"), F.count_distinct("article_id").alias("n_ids"))
+    return by.where("canonical_url != ''")
+
+
 def dedupe_fuzzy_title(spark, sf):
     out = dedupe.fuzzy_title(dedupe.fresh(apply_cleaning(page_articles(spark, sf))))
     return out.select("article_id", "dedupe_status", "dedupe_reason", "duplicate_of")
@@ -211,7 +222,7 @@ def latest_span(spark, sf):
 
 
 def embedding_cosines(spark, sf):
-    """Cosines of at least 0.9 among vectors of one label, as sums over components joined by position."""
+    """Cosines of at least 0.3 among vectors of one label, as sums over components joined by position."""
     e = _read(spark, sf, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("p", "x")).withColumn("x", F.col("x").cast("double"))
     norm = e.groupBy("vec_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
     v = e.join(norm, "vec_id").select("vec_id", "label", "p", (F.col("x") / F.col("n")).alias("x"))
@@ -231,7 +242,7 @@ def interval_pairs(spark, sf):
 
 
 def text_pairs(spark, sf):
-    rows = _read(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), F.regexp_replace(F.substring("text", 1, 300), r"[^\x00-\x7F]", " ").alias("text"))
+    rows = _read(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), "text")
     return cosine_pairs(tfidf(rows, DEMO.stop_words), 0.82).select("i", "j", F.round("cos", 6).alias("cosine"))
 
 
@@ -274,7 +285,7 @@ def counts_by_window(spark, sf):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fs = (
-        deal_events, url_canonical, url_domain, title_normalize, title_display, snippet_clean, accent_fold, word_counts, lookback_filter, dedupe_exact_url, dedupe_exact_title,
+        deal_events, dedupe_repeated, url_canonical, url_domain, title_normalize, title_display, snippet_clean, accent_fold, word_counts, lookback_filter, dedupe_exact_url, dedupe_exact_title,
         dedupe_fuzzy_title, dedupe_similar_text, dedupe_all, fuzzy_title_pairs, relevance, credibility, group_credibility, confidence_labels, detect_deal_type, detect_category,
         detect_geography, extract_value, extract_companies, best_turn, ordered_roles, source_counts, top_three, latest_span, embedding_cosines, interval_pairs, text_pairs,
         evidence_rows, flat_events, sheet_cells, rejected_rows, table_search, counts_by_window,

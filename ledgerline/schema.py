@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from .functions.scratch import written
 
 _S, _TS, _I, _L = T.StringType(), T.TimestampType(), T.IntegerType(), T.ArrayType(T.StringType())
 
@@ -25,8 +28,26 @@ def empty_articles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], RAW)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Aligned rows with ids of their own. One article that two queries return has equal digests: all but one of these
+    rows get a number. Rows are counted by the part they were written in, so an article that a third of all rows repeat
+    is numbered by many tasks."""
+    rows = written(df.withColumn("_part", F.spark_partition_id()), "raw")
+    counts = rows.groupBy("row_idx", "_part").agg(F.count("*").alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy("row_idx").orderBy("_part"))  # as many rows as parts
+    before = counts.select("row_idx", "_part", (total - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("row_idx", "_part").orderBy("query", "retrieved_at", "snippet")) - 1
+    out = rows.withColumn("_place", place).join(before, ["row_idx", "_part"]).withColumn("_nth", F.col("_place") + F.col("_before"))
+    new = {
+        "article_id": F.when(F.col("_nth") == 0, F.col("article_id")).otherwise(F.concat_ws("-", "article_id", "_nth")),
+        "row_idx": F.when(F.col("_nth") == 0, F.col("row_idx")).otherwise(F.xxhash64("row_idx", "_nth")),
+    }
+    return out.select(*(new.get(c, F.col(c)).alias(c) for c in df.columns))
+
+
 def align(df: DataFrame) -> DataFrame:
-    """df with the raw columns, each of its type; missing ones are null. article_id is a digest of the row's content.
+    """df with the raw columns, each of its type; missing ones are null. article_id is a digest of the row's content, which
+    repeated rows share until they are numbered.
 
     row_idx stands for the order of rows, which decides ties: connectors set it; otherwise rows are ranked by content.
     """

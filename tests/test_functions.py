@@ -1,13 +1,15 @@
 import random
+from datetime import datetime
 from urllib.parse import urlsplit
 
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerline.config import Config, search_query
 from ledgerline.functions import text as T
-from ledgerline.functions.similarity import cosine_pairs, tfidf, token_set_ratio
+from ledgerline.functions.similarity import cosine_pairs, fuzzy_pairs, ratio_bound, tfidf, token_set_ratio
 from ledgerline.operators.cleaning import timespan, with_when
 from ledgerline.operators.scoring import cluster_credibility, confidence, query_family, tier
 
@@ -106,3 +108,24 @@ def test_cosine_pairs_are_all_pairs(spark):
     want = {(i, j) for i in range(n) for j in range(i + 1, n) if sum(x * vec[j].get(w, 0) for w, x in vec[i].items()) >= 0.6}
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_idx long, text string")
     assert {(r["i"], r["j"]) for r in cosine_pairs(tfidf(rows, frozenset()), 0.6).collect()} == want
+
+
+def test_fuzzy_pairs_lose_no_match(spark):
+    """At any ratio, the pairs are those of all pairs; titles of few letters, of one long word, and of shared words."""
+    rng = random.Random(2)
+    titles = ["ha" * 30, "ha" * 29 + "hx", "a b", "b a", "the", "the quick brown fox acquires a hen", "acquires hen"]
+    for _ in range(60):
+        ws = [rng.choice(["alpha", "beta", "acquires", "acquired", "stake", "stakes", "group", "of", "in", "x1"]) for _ in range(rng.randint(1, 8))]
+        titles.append(" ".join(ws))
+    df = spark.createDataFrame([(i, t, datetime(2024, 1, 1 + i % 20)) for i, t in enumerate(titles)], "row_idx long, normalized_title string, published_at timestamp")
+    for least in (70.0, 90.0, 95.0):
+        want = {(i, j) for i in range(len(titles)) for j in range(i + 1, len(titles)) if abs(i % 20 - j % 20) <= 14 and token_set_ratio(titles[i], titles[j]) >= least}
+        assert {(r["i"], r["j"]) for r in fuzzy_pairs(df, least, 14).collect()} == want and want
+
+
+def test_bound_of_the_ratio():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))
+    text = lambda: " ".join(sorted({word() for _ in range(rng.randint(1, 6))}))
+    x, y = pd.Series([text() for _ in range(3000)]), pd.Series([text() for _ in range(3000)])
+    assert (ratio_bound(x, y) + 1e-9 >= [token_set_ratio(a, b) for a, b in zip(x, y, strict=True)]).all()
