@@ -174,6 +174,18 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
 
 
+def looked_up(left: DataFrame, names: DataFrame, on: str, value: str, weight: str, salt: str, most: int = 1024) -> DataFrame:
+    """left with names' `value` for its binary column `on`, or null. names: a written table of (on, value, weight), a row for
+    each key, weight being its rows in left. Keys with more than 1 / most of all rows, thus at most `most`, are broadcast;
+    their rows, and those without a key, are dealt by `salt` instead."""
+    total = names.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(names.where(F.col(weight) > total / most).select(on, F.col(value).alias("_hot")))
+    rest = names.select(F.col(on).alias("_at"), F.col(value).alias("_value"))
+    at = F.coalesce(F.when(F.col("_hot").isNull(), F.col(on)), F.unhex(F.md5(F.xxhash64(salt).cast("string").cast("binary"))))
+    out = left.join(hot, on, "left").withColumn("_at", at).join(rest, "_at", "left")
+    return out.withColumn(value, F.coalesce("_hot", "_value")).drop("_at", "_hot", "_value")
+
+
 def by_groups(df: DataFrame, keys: list[str], order: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int = 16_384) -> DataFrame:
     """Apply run to frames that hold whole groups, about `rows` rows at once: one shuffle, then a stream of sorted rows.
 

@@ -252,14 +252,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", s:
 
     # classes that need a name other than their row's key: joined or with copies
     named = members.select("node", "id", "copies").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("id").alias("component"), F.sum("copies").alias("n")).where("n > 1")
-    named = C.materialise(named.select("node", "label", "copies").join(least, "label").select("node", "component", "copies"), "components")
-    total = named.agg(F.sum("copies")).first()[0] or 0
-    hot = F.broadcast(named.where(F.col("copies") > total / 1024).select(F.col("node").alias("class"), F.col("component").alias("hot")))  # at most 1024 rows
-    # rows of hot classes have their name already and, like rows without words, are dealt by their key instead
-    out = rows.select("key", "n_shingles", "class").join(hot, "class", "left")
-    out = out.withColumn("node", F.coalesce(F.when(F.col("hot").isNull(), F.col("class")), F.unhex(F.md5(F.xxhash64("key").cast("string").cast("binary")))))
-    out = out.join(named.select("node", "component"), "node", "left")
-    component = F.when(F.col("key").isNotNull(), F.coalesce("hot", "component", "key"))
-    C.discard(banded, sets, links, found)
+    least = named.groupBy("label").agg(F.min("id").alias("component"), F.count("*").alias("classes"), F.sum("copies").alias("n")).where("n > 1")
+    least = C.materialise(least, "components")
+    named = C.looked_up(named, least, "label", "component", "classes", "node").where("component is not null")
+    named = C.materialise(named.select(F.col("node").alias("class"), "component", "copies"), "names")
+    out = C.looked_up(rows.select("key", "n_shingles", "class"), named, "class", "component", "copies", "key")
+    component = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
+    C.discard(banded, sets, links, found, least)
     return out.select("key", "n_shingles", component.alias("component"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
