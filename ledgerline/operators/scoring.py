@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import REDIRECTORS, TIERS, VALUE_SHOWN, Config
+from ..config import REDIRECTORS, VALUE_SHOWN, Config
 from ..functions.text import has_any
 
 _DAY = 86_400_000_000
@@ -81,19 +81,21 @@ def _lookup(pairs: dict[str, int]) -> Column:
     return F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
 
 
-def domain_tier(domain: Column) -> Column:
-    """Tier by domain alone, 4 for unlisted ones. The listed domains are a constant of the plan."""
-    table = {d: t for t in sorted(TIERS, reverse=True) for d in TIERS[t][0]}
-    return F.coalesce(F.element_at(_lookup(table), F.lower(F.coalesce(domain, F.lit("")))), F.lit(4))
+def _tier_of(column: Column, kind: int, config: Config | None) -> Column:
+    """Tier by the listed domains (0) or names (1), which are a constant of the plan; null for unlisted ones."""
+    tiers = (config or Config()).tiers
+    table = {x.lower(): t for t in sorted(tiers, reverse=True) for x in tiers[t][kind]}
+    return F.element_at(_lookup(table), F.lower(F.coalesce(column, F.lit("")))) if table else F.lit(None).cast("int")
 
 
-def tier(domain: Column, name: Column) -> Column:
+def domain_tier(domain: Column, config: Config | None = None) -> Column:
+    """Tier by domain alone, 4 for unlisted ones."""
+    return F.coalesce(_tier_of(domain, 0, config), F.lit(4))
+
+
+def tier(domain: Column, name: Column, config: Config | None = None) -> Column:
     """Tier by domain, else by publisher's name, else 4."""
-    domains = {d: t for t in sorted(TIERS, reverse=True) for d in TIERS[t][0]}
-    names = {n.lower(): t for t in sorted(TIERS, reverse=True) for n in TIERS[t][1]}
-    return F.coalesce(
-        F.element_at(_lookup(domains), F.lower(F.coalesce(domain, F.lit("")))), F.element_at(_lookup(names), F.lower(F.trim(F.coalesce(name, F.lit(""))))), F.lit(4)
-    )
+    return F.coalesce(_tier_of(domain, 0, config), _tier_of(F.trim(name), 1, config), F.lit(4))
 
 
 def score_credibility(df: DataFrame, config: Config | None = None) -> DataFrame:
@@ -105,7 +107,7 @@ def score_credibility(df: DataFrame, config: Config | None = None) -> DataFrame:
     reasons = F.array_compact(
         F.array(F.format_string("tier_%d_base_%d", F.col("_tier"), points), F.when(dated & named, F.lit("metadata_complete")), F.when(~dated, F.lit("no_published_date")))
     )
-    out = df.withColumn("_tier", tier(F.col("domain"), F.col("source_name")))
+    out = df.withColumn("_tier", tier(F.col("domain"), F.col("source_name"), c))
     out = out.withColumn("credibility_score", F.least(F.greatest(total, F.lit(0)), F.lit(100)).cast("int")).withColumn("credibility_reasons", reasons)
     return out.withColumn("credibility_tier", F.format_string("tier_%d", F.col("_tier"))).drop("_tier")
 

@@ -15,6 +15,7 @@ from ..operators.brief import make_brief
 from ..operators.cleaning import apply_cleaning, in_timespan, timespan_label
 from ..operators.clustering import candidates, cluster_deals
 from ..operators.dedupe import dedupe
+from ..operators.polish import Polished
 from ..operators.scoring import score_articles
 from ..schema import ARTICLE, align, empty_articles, numbered
 from ..sources.parsers import KEYED
@@ -71,10 +72,12 @@ def run(
     config: Config | None = None,
     fallback: bool = True,
     run_at: datetime | None = None,
+    polish: Callable[[dict], Polished] | None = None,
 ) -> Run:
     """source(timespan) gives raw articles; where it fails, the run goes on without rows and says so.
 
     With too few included articles and a sample at hand, the sample takes the place of all rows; they are never mixed.
+    polish: rewords the brief, as a `Polisher` does; what it returns goes to the outputs, and its status to the metadata.
     """
     c = config or Config()
     warning = ""
@@ -94,6 +97,7 @@ def run(
     shown = visible(events, c.min_relevance, c.min_credibility)
     out = written(with_cluster_ids(processed, ids, shown), "articles")
     text, brief = make_brief(shown, timespan_label(timespan), run_at or now, used or None)
+    worded = polish(brief) if polish else Polished(text, brief, False, "off")
     counts = source_counts(live)
     n = out.agg(F.count("*").alias("all"), F.count_if(F.col("dedupe_status") == "duplicate").alias("dup"), F.count_if((F.col("dedupe_status") == "canonical") & (F.col("status") == "include")).alias("inc")).first()
     mix = brief["snapshot"]["confidence_counts"]
@@ -102,6 +106,6 @@ def run(
         "use_sample_fallback": fallback, "used_sample": used, "fallback_reason": reason, "fetch_warning": warning, "source_warning": source_warning(counts),
         "source_counts": counts, "live_raw_rows": sum(counts.values()), "raw_rows": raw.count(), "processed_rows": n["all"], "live_include_count": live_included,
         "include_count": n["inc"], "duplicate_count": n["dup"], "cluster_count": brief["snapshot"]["deal_events"], "high_confidence_count": mix.get("High", 0),
-        "highlight_count": mix.get("High", 0) + mix.get("Medium", 0), "use_ai_polish": False, "ai_polish_used": False, "ai_polish_status": "off", "ai_polish_warning": "",
+        "highlight_count": mix.get("High", 0) + mix.get("Medium", 0), "use_ai_polish": polish is not None, "ai_polish_used": worded.used, "ai_polish_status": worded.status, "ai_polish_warning": worded.warning,
     }
-    return Run(raw, out, shown, text, brief, metadata)
+    return Run(raw, out, shown, worded.markdown, worded.brief, metadata)

@@ -7,15 +7,21 @@ no rows and never fails a run.
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import written
 from ..functions.text import without_tags
 from ..operators.cleaning import in_timespan, present
-from ..schema import align
+from ..schema import align, empty_articles
+
+log = logging.getLogger(__name__)
 
 _ITEM = "array<map<string,string>>"
 
@@ -133,10 +139,38 @@ def enabled(keys: dict[str, str], gdelt: bool | None = None) -> list[str]:
     return [*(["gdelt"] if use else []), "google_news_rss", "pr_wire_rss", *keyed]
 
 
-def fan_in(landed: dict[str, DataFrame], timespan: str, now: datetime) -> DataFrame:
-    """All sources' articles of the timespan that have a title and an address."""
-    parts = [PARSERS[name](df) for name, df in landed.items()]
-    return present(in_timespan(reduce(DataFrame.unionByName, parts), timespan, now))
+def fan_in(spark: SparkSession, landed: dict[str, DataFrame | Callable[[], DataFrame]], timespan: str, now: datetime, failed: dict[str, str] | None = None) -> DataFrame:
+    """All sources' articles of the timespan that have a title and an address; landed: payloads by source, or what reads them.
+
+    Each source is parsed and written by itself: one that can't be read gives no rows and leaves its error in `failed`.
+    Without any source there are no rows.
+    """
+    parts = [empty_articles(spark)]
+    for name, df in landed.items():
+        try:
+            rows = PARSERS[name](df() if callable(df) else df)
+            parts.append(written(present(in_timespan(rows, timespan, now)), name))
+        except Exception as e:  # a source is foreign: whatever is wrong with it stays its own
+            log.warning("source %s failed: %s", name, e)
+            if failed is not None:
+                failed[name] = str(e)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def cached(spark: SparkSession, table: str, key: str, fetch: Callable[[], DataFrame], now: datetime, seconds: int = 1800) -> DataFrame:
+    """fetch()'s rows, landed under `table`; the key's latest landing is read instead while it is younger than `seconds`.
+
+    Landings are folders by key and time and are never overwritten, so a reader keeps the one that it began with.
+    """
+    at = int(now.timestamp())
+    try:
+        seen = spark.read.parquet(table).where(F.col("landed_key") == key).agg(F.max("landed_at")).first()[0]
+    except AnalysisException:  # nothing has landed yet
+        seen = None
+    if seen is None or not 0 <= at - seen < seconds:
+        fetch().withColumns({"landed_key": F.lit(key), "landed_at": F.lit(at).cast("long")}).write.partitionBy("landed_key", "landed_at").mode("append").parquet(table)
+        seen = at
+    return spark.read.parquet(table).where((F.col("landed_key") == key) & (F.col("landed_at") == seen)).drop("landed_key", "landed_at")
 
 
 SAMPLE = "days_ago int, title string, snippet string, url string, source_name string, query string"

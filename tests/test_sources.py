@@ -1,8 +1,9 @@
 import json
 import zipfile
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.config import search_query
 from ledgerline.sources import parsers as P
@@ -39,8 +40,33 @@ def test_feeds(spark):
     assert [(r["title"], r["source_name"], r["snippet"]) for r in rows] == [("X acquires Y", "Publisher", "Deal done"), ("Second", "Google News", "")]
     assert rows[0]["published_at"] == datetime(2024, 6, 10, 10, 11, 12) and rows[1]["published_at"] is None
     assert P.parse_wires(landed(spark, RSS)).first()["query"] == "feed:general_fmcg"
-    both = P.fan_in({"google_news_rss": landed(spark, RSS), "gdelt": landed(spark, json.dumps(PAYLOADS["gdelt"]))}, "7d", NOW)
-    assert sorted(r["title"] for r in both.collect()) == ["T", "X acquires Y"]
+    failed = {}
+    both = P.fan_in(spark, {"google_news_rss": landed(spark, RSS), "gdelt": landed(spark, json.dumps(PAYLOADS["gdelt"])), "newsapi": lambda: spark.read.parquet("/nowhere/landed")}, "7d", NOW, failed)
+    assert sorted(r["title"] for r in both.collect()) == ["T", "X acquires Y"] and list(failed) == ["newsapi"]
+    assert P.fan_in(spark, {}, "7d", NOW).count() == 0
+
+
+def test_landed_rows_are_read_while_young(spark, tmp_path):
+    calls = []
+
+    def fetch():
+        calls.append(1)
+        return landed(spark, "{}", f"call {len(calls)}")
+
+    get = lambda key, minutes: P.cached(spark, str(tmp_path / "landed"), key, fetch, NOW + timedelta(minutes=minutes))
+    assert get("7d", 0).count() == 2 and get("7d", 29).where("payload = 'call 1'").count() == 1 and len(calls) == 1
+    assert get("1d", 1).where("payload = 'call 2'").count() == 1
+    assert get("7d", 31).where("payload = 'call 3'").count() == 1 and get("7d", 40).count() == 2 and len(calls) == 3
+
+
+def test_tiers_from_a_file(spark, tmp_path):
+    from ledgerline.config import Config, load_tiers
+    from ledgerline.operators.scoring import score_credibility
+
+    (tmp_path / "tiers.yaml").write_text("tier_1:\n  domains: [Own.com]\ntier_3:\n  names: [Some Wire]\n")
+    rows = spark.createDataFrame([("own.com", "x"), ("", " some wire "), ("reuters.com", "Reuters")], "domain string, source_name string").withColumn("published_at", F.lit(NOW))
+    got = score_credibility(rows, Config(tiers=load_tiers(str(tmp_path / "tiers.yaml")))).select("credibility_tier").collect()
+    assert [r[0] for r in got] == ["tier_1", "tier_3", "tier_4"]
 
 
 def test_gates():
@@ -76,6 +102,10 @@ def test_outputs(spark, tmp_path):
         calls.append(request)
         return {"choices": [{"message": {"content": "```json\n" + json.dumps(answer) + "\n```"}}]}
 
+    whole = run(spark, lambda span: empty_articles(spark), now, sample=sample, polish=Polisher(ask))
+    assert whole.metadata["ai_polish_used"] and "Deal activity in snacks." in whole.markdown and whole.brief["ai_polished"]
+    assert "Deal activity in snacks." in open(write_all(whole, str(tmp_path / "worded"))["newsletter.md"]).read()
+    calls.clear()
     polish = Polisher(ask)
     assert polish(done.brief).used and polish(done.brief).used and len(calls) == 1
     assert not Polisher(None)(done.brief).used
