@@ -75,7 +75,7 @@ _BY_URL = _flagged(
 )
 
 
-def _relevance(snippet: str = "snippet") -> str:
+def _relevance(snippet: str = "snippet", title: str = "title") -> str:
     c, t = DEMO, "t"
     soft = f"({_has(t, [x for x in c.soft if x != 'raises'])} or ({_has(t, ['raises'])} and ({_has(t, c.funding_context)} or value)))"
     flags = {
@@ -86,13 +86,13 @@ def _relevance(snippet: str = "snippet") -> str:
     rules = [
         ("strong_deal_term", 30, "strong"), ("soft_deal_term", 20, "soft and not strong"), ("fmcg_term", 25, "fmcg"), ("category_term", 15, "category and not fmcg"), ("watchlist_company", 15, "watch"),
         ("recent_7d", 10, f"coalesce(age <= {week}, false)"), ("recent_30d", 5, f"coalesce(age > {week} and age <= {month}, false)"), ("deal_value_visible", 10, "value"),
-        ("source_query_context", 15, "false"), ("earnings_noise", -25, "earnings and not strong"), ("launch_noise", -10, "launch and not strong and not soft"),
+        ("source_query_context", 15, "query in ('en', 'fr') and (fmcg or category or watch)"), ("earnings_noise", -25, "earnings and not strong"), ("launch_noise", -10, "launch and not strong and not soft"),
         ("market_noise", -35, "market and not transaction"), ("off_topic_source", -40, "off_topic"), ("service_noise", -40, "service"),
     ]
     total = " + ".join(f"(case when {w} then {p} else 0 end)" for _, p, w in rules)
     why = ", ".join(f"case when {w} then '{n}' end" for n, _, w in rules)
     value = r"(regexp_matches(t, '[$€£₹]\s?\d') or regexp_matches(t, '(?i)\b\d+\s?(?:million|billion|crore|mn|bn)\b') or regexp_matches(t, '\b(?:USD|INR|EUR)\b'))"
-    return f"""with {_ARTICLES}, texts as (select article_id, source_name, title || ' ' || {snippet} t, epoch_us(retrieved_at) - epoch_us(published_at) age from articles),
+    return f"""with {_ARTICLES}, texts as (select article_id, source_name, query, {title} || ' ' || {snippet} t, epoch_us(retrieved_at) - epoch_us(published_at) age from articles),
  valued as (select *, {value} as "value" from texts), flags as (select *, {', '.join(f'{v} as {k}' for k, v in flags.items())} from valued),
  scored as (select article_id, {total} total, not strong and not soft as none, array_to_string(list_filter([{why}, case when not strong and not soft then 'no_deal_term' end], lambda x: x is not null), ',') reasons from flags),
  clamped as (select article_id, cast(greatest(0, least(100, case when none then least(total, 30) else total end)) as integer) relevance_score, reasons from scored)
@@ -132,6 +132,45 @@ _EVENTS = """o as (select o_custkey, list({'title': 't' || o_orderkey, 'url': 'h
  ev as (select printf('C%06d', o_custkey) cluster_id, 'h' || o_custkey canonical_headline, o_custkey % 3 > 0 named, sources from o)"""
 
 
+_AT = "left join (select event_id, date_trunc('second', ts) published_at from events) e on e.event_id = d.doc_id"
+_JSON_SOURCES = f"""select source_api, 'https://e.com/' || doc_id url, md5({_TITLE}) title_md5, md5(case when source_api = 'gdelt' then '' else text end) snippet_md5, source source_name, published_at
+ from documents d {_AT}, (select unnest(['gdelt', 'alpha_vantage', 'marketaux', 'newsdata', 'newsapi']) source_api) where not (source_api = 'newsdata' and doc_id % 7 = 0)"""
+
+_RSS_SOURCES = f"""with d as (select *, row_number() over (partition by doc_id // 60 order by doc_id) n from documents),
+ feeds as (select d.*, published_at, api from d {_AT}, (select unnest(['google_news_rss', 'pr_wire_rss']) api))
+ select api source_api, case when api = 'pr_wire_rss' then 'feed:' else '' end || 'general_fmcg' as query, 'Deal ' || doc_id || ' & more' title, 'https://e.com/' || doc_id url, lang || ' note' snippet,
+  case when api = 'pr_wire_rss' then 'general_fmcg' when doc_id % 2 = 0 then source else 'Google News' end source_name, published_at from feeds where api = 'pr_wire_rss' or n <= 50"""
+
+_PREFERRED = f"""with {_ARTICLES} select source_name, article_id from (select *, row_number() over (partition by source_name order by
+  case doc_id % 7 when 0 then 1 when 1 then 2 when 2 then 3 else 4 end, length(snippet) desc, published_at desc nulls last, doc_id) n from articles) where n = 1"""
+
+_SHOWN = """with e as (select doc_id k from documents where doc_id * 7 % 101 >= 40 and (doc_id * 11 % 101 >= 50 or doc_id * 13 % 101 >= 50))
+ select cast(doc_id as varchar) article_id, case when k is not null then printf('C%03d', k) else '' end cluster_id from documents left join e on k = doc_id // 3"""
+
+#: The walk itself, row by row, over the near pairs.
+_SEEDS = """with recursive rank as (select event_id, event_type, user_id, ts, row_number() over (order by ts desc nulls last, event_id) r from events),
+ near as (select least(a.r, b.r) lo, greatest(a.r, b.r) hi, a.event_type = b.event_type same, (least(a.event_id, b.event_id) * 7 + greatest(a.event_id, b.event_id) * 13) % 100 cos
+  from rank a join rank b on a.user_id = b.user_id and a.event_id < b.event_id and abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 600000000),
+ edges as (select lo, hi from near where cos >= 60 or (cos >= 40 and same)), nodes as (select hi, list(lo order by lo) l, row_number() over (order by hi) k from edges group by 1),
+ walk(k, gone) as (select 0::bigint, []::bigint[] union all
+   select nodes.k, case when len(list_filter(nodes.l, lambda q: not list_contains(walk.gone, q))) > 0 then list_append(walk.gone, nodes.hi) else walk.gone end from walk join nodes on nodes.k = walk.k + 1),
+ final as (select gone from walk order by k desc limit 1), led as (select hi, min(lo) lo from edges, final where not list_contains(gone, lo) and list_contains(gone, hi) group by 1)
+ select a.event_id row_idx, coalesce(b.event_id, a.event_id) seed from rank a left join led on led.hi = a.r left join rank b on b.r = led.lo"""
+
+_RECORDS = f"""with cred as ({_GROUP}), m as (select o_custkey c, o_orderkey n, o_orderdate, row_number() over (partition by o_custkey order by o_orderkey % 61 desc, o_orderkey * 7 % 101 desc, o_orderkey) p from orders),
+ named as (select c, 2 * p pl, 'Maker' || n % 7 who from m union all select c, 2 * p + 1, 'Trader' || n % 5 from m), firsts as (select c, who, min(pl) pl from named group by 1, 2),
+ who as (select c, (list(who order by pl))[1:5] w from firsts group by 1),
+ g as (select c, arg_min('t' || n, p) canonical_headline, max(n * 7 % 101) relevance_score, max(n % 61 + 35) max_article_credibility, count(*) article_count, count(distinct n % 4) source_count, bool_and(n % 3 > 0) is_sample,
+  string_agg('t' || n, '|' order by p) titles, strftime(min(o_orderdate), '%Y-%m-%d') earliest, strftime(max(o_orderdate), '%Y-%m-%d') latest, bool_or(n % 4 = 0) first_tier from m group by 1)
+ select c as cluster, printf('C%03d', row_number() over (order by c)) cluster_id, canonical_headline, 'acquisition' deal_type, relevance_score, max_article_credibility, credibility credibility_score,
+  case when relevance_score >= 75 and credibility >= 75 and (source_count >= 2 or first_tier) then 'High' when relevance_score >= 60 and credibility >= 55 then 'Medium' else 'Low' end confidence,
+  article_count, source_count, is_sample, 'Signals acquisition activity in Other, involving ' || array_to_string(w, ', ') || '. ' || source_count || ' source(s) reporting.' why_it_matters,
+  array_to_string(w, '|') companies, titles, earliest, latest from g join who using (c) join cred on o_custkey = c"""
+
+_BRIEF = """r as (select c_custkey n, c_mktsegment, printf('C%06d', c_custkey) cluster_id, ['High', 'Medium', 'Low'][cast(c_custkey % 3 + 1 as int)] confidence, case when c_custkey % 5 > 0 then c_custkey % 13 end latest from customer),
+ ranked as (select *, row_number() over (order by case confidence when 'High' then 0 when 'Medium' then 1 else 2 end, n % 11 desc, n % 7 desc, latest desc nulls last, cluster_id) brief_rank from r)"""
+
+
 def _text_pairs() -> str:
     stops = _list(sorted(DEMO.stop_words))
     return rf"""with tok as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}_][\p{{L}}\p{{N}}\p{{M}}_]+')) t from documents),
@@ -168,13 +207,13 @@ def oracle_sql() -> dict[str, str]:
         "title_display": r"select doc_id, trim(regexp_replace(text || ' | ' || source, '\s+(?:-|\|)\s+.{1,45}$', '')) as display_title from documents",
         "snippet_clean": f"select page_id, {_CLEAN_PAGE} as snippet from pages",
         "accent_fold": r"select doc_id, md5(regexp_replace(strip_accents(regexp_replace(text, '[^\x00-\x7FÀ-ÖØ-öù-ÿñ]', '', 'g')), '[^\x00-\x7F]', '', 'g')) as folded_md5 from documents",
-        "word_counts": r"select doc_id, cast(len(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g'), '\b[\w$€£₹.-]+\b')) as integer) as n_words from documents",
+        "word_counts": r"select doc_id, cast(len(regexp_extract_all(regexp_replace(text, '[\p{L}\p{N}\p{M}_]', 'a', 'g'), '\b[\w$€£₹.-]+\b')) as integer) as n_words from documents",
         "lookback_filter": "select event_id, event_type from events, (select max(ts) m from events) where ts >= m - interval 7 day and ts <= m + interval 1 day",
         "dedupe_repeated": f"select canonical_url, 3 * count(*) as n, 1 as n_canonical, 3 * count(*) as n_ids from ({_CANONICAL}) where canonical_url <> '' group by 1",
         "dedupe_exact_url": f"{_BY_URL} select {_STATUS.format('exact_url')}",
         "dedupe_exact_title": f"{_BY_TITLE} select {_STATUS.format('exact_title_14d')}",
         "dedupe_similar_text": _similar_text(),
-        "relevance": _relevance(),
+        "relevance": _relevance(title="(title || case when doc_id % 5 = 0 then ' at $' || doc_id || ' million' else '' end)"),
         "credibility": _CREDIBILITY,
         "group_credibility": _GROUP,
         "confidence_labels": "select o_orderkey, case when o_orderkey % 101 >= 75 and o_orderkey * 7 % 101 >= 75 and (o_orderkey % 3 + 1 >= 2 or o_orderkey % 5 = 0) then 'High' when o_orderkey % 101 >= 60 and o_orderkey * 7 % 101 >= 55 then 'Medium' else 'Low' end as confidence from orders",
@@ -195,5 +234,17 @@ def oracle_sql() -> dict[str, str]:
         "sheet_cells": "select cast(doc_id as varchar) doc_id, '[\"' || lang || '\",\"' || source || '\"]' tags, case when doc_id % 2 = 0 then lang else '' end maybe, '' absent from documents",
         "rejected_rows": f"with s as ({_relevance(_CLEAN_DOC)}), d as ({_BY_TITLE} select {_STATUS.format('exact_title_14d')}) select article_id, status, dedupe_status from s join d using (article_id) where status = 'reject' or dedupe_status = 'duplicate'",
         "table_search": "select c_custkey from customer where contains(lower(concat_ws(' ', c_custkey, c_name, c_mktsegment)), 'build')",
+        "present_rows": "select cast(doc_id as varchar) article_id from documents where doc_id % 3 <> 0 and doc_id % 4 <> 0 and trim(split_part(text, chr(10), 1)) <> ''",
+        "json_sources": _JSON_SOURCES,
+        "rss_sources": _RSS_SOURCES,
+        "sample_dates": "select o_orderkey row_idx, printf('sample-%03d', o_orderkey + 1) article_id, true is_sample, timestamp '2024-06-12' - to_days(cast(o_orderkey % 30 as int)) - to_hours(o_orderkey % 12) published_at from orders",
+        "preferred_rows": _PREFERRED,
+        "shown_clusters": _SHOWN,
+        "seed_groups": _SEEDS,
+        "company_groups": "select o_orderkey seed, min(o_orderkey) over (partition by o_custkey // 3) component from orders",
+        "event_records": _RECORDS,
+        "brief_ranks": f"with {_BRIEF} select cluster_id, brief_rank from ranked",
+        "brief_appendix": f"with {_BRIEF} select 'u' || n % 50 url, arg_min(cluster_id, brief_rank) cluster_id, arg_min(c_mktsegment, brief_rank) label, arg_min('t' || n, brief_rank) title from ranked group by 1",
+        "brief_tables": f"with {_BRIEF} select cluster_id, 'h' || n canonical_headline, 'A' companies, confidence, confidence = 'Low' watch from ranked",
         "counts_by_window": "select date_trunc('day', ts) as start, event_type as source_api, count(*) n from events group by 1, 2",
     }

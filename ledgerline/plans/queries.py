@@ -7,25 +7,29 @@ words of the texts. The operators are the same.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as T
 from ..functions.similarity import cosine_pairs, fuzzy_pairs, tfidf
 from ..operators import clustering, dedupe, scoring
-from ..operators.brief import brief_order, top_categories
-from ..operators.cleaning import apply_cleaning
+from ..operators.brief import appendix, brief_order, top_categories
+from ..operators.cleaning import apply_cleaning, in_timespan, present
 from ..schema import align, numbered
-from ..sources.sinks import cells, clusters_flat, evidence, rejected_or_duplicate, search
+from ..sources.parsers import PARSERS, sample_rows
+from ..sources.sinks import brief_rows, cells, clusters_flat, evidence, rejected_or_duplicate, search
 from ..streaming.articles import windowed_counts
+from .pipeline import visible, with_cluster_ids
 
 #: Word lists and weights for the driver's texts.
 DEMO = Config(
     strong=("with", "ver mit"), soft=("from", "raises"), fmcg=("this", "las de"), categories=(("by", "By"), ("was", "Was"), ("das", "Das"), ("les", "Les")),
     watchlist=("for", "pour"), earnings=("are",), launch=("is",), market=("that",), transaction=("as",), off_topic=("src3",), service=("be",), funding_context=("on",),
-    targeted=("en", "fr"), keyed_queries=(),
+    targeted=("keyed_news",), keyed_queries=("en", "fr"),
 )
 DEAL_TYPES = (("merger", ("with", "this")), ("funding", ("from",)), ("stake", ("les", "das")))
 
@@ -93,14 +97,136 @@ def accent_fold(spark, sf):
 
 
 def word_counts(spark, sf):
-    return _read(spark, sf, "documents").select("doc_id", T.word_count(F.regexp_replace("text", r"[^\x00-\x7F]", " ")).alias("n_words"))
+    return _read(spark, sf, "documents").select("doc_id", T.word_count("text").alias("n_words"))
 
 
 def lookback_filter(spark, sf):
-    e = _read(spark, sf, "events")
-    now = e.agg(F.max("ts").alias("now"))
-    rows = e.crossJoin(F.broadcast(now))  # now is one row
-    return rows.where((F.col("ts") >= F.col("now") - F.expr("interval 7 days")) & (F.col("ts") <= F.col("now") + F.expr("interval 1 day"))).select("event_id", "event_type")
+    e = _read(spark, sf, "events").withColumn("published_at", F.col("ts").cast("timestamp"))
+    return in_timespan(e, "7d", e.agg(F.max("published_at")).first()[0]).select("event_id", "event_type")
+
+
+def present_rows(spark, sf):
+    """Articles with a title and an address; every third title and fourth address is blank."""
+    n = F.col("row_idx")
+    blank = {"title": F.when(n % 3 == 0, "  ").otherwise(F.col("title")), "url": F.when(n % 4 == 0, None).otherwise(F.concat(F.lit("https://e.com/"), n))}
+    return present(articles(spark, sf).withColumns(blank)).select("article_id")
+
+
+def _landed(spark, sf, payload: Column) -> DataFrame:
+    """Documents as landed responses, one for each; `at` is the event's time to the second."""
+    events = _read(spark, sf, "events").select(F.col("event_id").alias("doc_id"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("at"))
+    rows = _read(spark, sf, "documents").join(events, "doc_id", "left").withColumns({"title": F.substring_index("text", "\n", 1), "address": F.concat(F.lit("https://e.com/"), "doc_id")})
+    return rows.select("doc_id", payload.alias("payload"), F.lit("general_fmcg").alias("query"), F.lit(None).cast("timestamp").alias("retrieved_at"))
+
+
+def json_sources(spark, sf):
+    """Each JSON source's parser over all documents in that source's form."""
+    at = lambda form: F.date_format("at", form)
+    c, iso, name = F.col, "yyyy-MM-dd'T'HH:mm:ssXXX", F.struct(F.col("source").alias("name"))
+    item = {
+        "gdelt": ("articles", F.struct("title", c("address").alias("url"), c("source").alias("domain"), at("yyyyMMdd'T'HHmmss'Z'").alias("seendate"))),
+        "alpha_vantage": ("feed", F.struct("title", c("text").alias("summary"), c("address").alias("url"), "source", at("yyyyMMdd'T'HHmmss").alias("time_published"))),
+        "marketaux": ("data", F.struct("title", F.lit("").alias("description"), c("text").alias("snippet"), c("address").alias("url"), name.alias("source"), at(iso).alias("published_at"))),
+        "newsdata": ("results", F.struct("title", c("text").alias("content"), c("address").alias("link"), c("source").alias("source_id"), at("yyyy-MM-dd HH:mm:ss").alias("pubDate"))),
+        "newsapi": ("articles", F.struct("title", c("text").alias("description"), c("address").alias("url"), name.alias("source"), at(iso).alias("publishedAt"))),
+    }
+    parts = []
+    for source, (field, made) in item.items():
+        payload = F.to_json(F.struct(F.when(c("doc_id") % 7 == 0, "error").otherwise("success").alias("status"), F.array(made).alias(field)))
+        parts.append(PARSERS[source](_landed(spark, sf, payload)))
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select("source_api", "url", F.md5("title").alias("title_md5"), F.md5("snippet").alias("snippet_md5"), "source_name", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+
+
+def rss_sources(spark, sf):
+    """Both feeds' parsers over responses of 60 entries each: a document an entry, its language in markup."""
+    d, shown = F.col("doc_id").cast("string"), F.date_format("at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    entry = F.concat(
+        F.lit("<item><title>Deal "), d, F.lit(" &amp; more</title><link>https://e.com/"), d, F.lit("</link><description>&lt;b&gt;"), "lang", F.lit("&lt;/b&gt; note</description>"),
+        F.coalesce(F.concat(F.lit("<pubDate>"), shown, F.lit("</pubDate>")), F.lit("")), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<source url='https://p.com'>"), "source", F.lit("</source>"))).otherwise(""), F.lit("</item>"),
+    )
+    entries = F.expr("array_join(transform(array_sort(collect_list(struct(doc_id, payload))), x -> x.payload), '')")
+    feeds = _landed(spark, sf, entry).groupBy(F.floor(F.col("doc_id") / 60).alias("page"), "query", "retrieved_at").agg(F.concat(F.lit('<rss version="2.0"><channel>'), entries, F.lit("</channel></rss>")).alias("payload"))
+    out = PARSERS["google_news_rss"](feeds).unionByName(PARSERS["pr_wire_rss"](feeds))
+    return out.select("source_api", "query", "title", "url", "snippet", "source_name", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+
+
+def sample_dates(spark, sf):
+    """Orders as example articles: published some days and hours before a fixed time."""
+    o = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("row_idx"), (F.col("o_orderkey") % 30).cast("int").alias("days_ago"), F.lit("t").alias("title"), F.lit("u").alias("url"))
+    return sample_rows(o, datetime(2024, 6, 12)).select("row_idx", "article_id", "is_sample", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+
+
+def preferred_rows(spark, sf):
+    """The row of each source that duplicates would be dropped for: tier of the domain, length, date, order."""
+    n = F.col("row_idx")
+    a = articles(spark, sf).withColumn("domain", F.when(n % 7 == 0, "bbc.com").when(n % 7 == 1, "FoodDive.com").when(n % 7 == 2, "businesswire.com").otherwise("e.com"))
+    return a.groupBy("source_name").agg(F.min_by("article_id", dedupe.preference()).alias("article_id"))
+
+
+def shown_clusters(spark, sf):
+    """Events past the thresholds, and the cluster numbers that articles keep: those of events that are shown."""
+    done = scoring.score_articles(dedupe.fresh(apply_cleaning(articles(spark, sf))), DEMO)
+    ids = done.select("row_idx", F.format_string("C%03d", F.floor(F.col("row_idx") / 3)).alias("cluster_id"))
+    score = lambda k: F.col("doc_id") * k % 101
+    events = _read(spark, sf, "documents").select(F.format_string("C%03d", "doc_id").alias("cluster_id"), score(7).alias("relevance_score"), score(11).alias("credibility_score"), score(13).alias("max_article_credibility"))
+    return with_cluster_ids(done, ids, visible(events, 40, 50)).select("article_id", "cluster_id")
+
+
+def seed_groups(spark, sf):
+    """Events as articles that join the first near seed: newest first, companies by type, pairs within ten minutes."""
+    e = _read(spark, sf, "events").select(F.col("event_id").alias("row_idx"), F.array(F.col("event_type")).alias("keys"), F.col("ts").cast("timestamp").alias("published_at"))
+    rows = e.join(dedupe.ranked(e, clustering.newest_first()), "row_idx")
+    pairs = interval_pairs(spark, sf).withColumn("cos", ((F.col("i") * 7 + F.col("j") * 13) % 100 / 100.0).cast("double"))
+    return clustering.seed_clusters(rows, pairs).select("row_idx", "seed")
+
+
+def company_groups(spark, sf):
+    """Orders as seeds whose companies are a customer and three customers' owner: what either connects is one group."""
+    o = _read(spark, sf, "orders")
+    keys = F.array(F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("k"), F.floor(F.col("o_custkey") / 3)))
+    return clustering.company_components(o.select(F.col("o_orderkey").alias("seed"), keys.alias("keys")))
+
+
+def event_records(spark, sf):
+    """One record for each customer, whose orders stand for articles: best row first, union of companies, counts, dates."""
+    n = F.col("o_orderkey")
+    members = _read(spark, sf, "orders").select(
+        F.col("o_custkey").alias("cluster"), n.alias("ord"), F.concat(F.lit("t"), n).alias("title"), F.lit("acquires").alias("snippet"), F.concat(F.lit("http://x/"), n).alias("url"),
+        F.concat(F.lit("d"), n % 4, F.lit(".com")).alias("domain"), F.lit("").alias("source_name"), F.col("o_orderdate").cast("timestamp").alias("published_at"), F.concat(F.lit("tier_"), n % 4 + 1).alias("credibility_tier"),
+        (n % 61 + 35).cast("int").alias("credibility_score"), (n * 7 % 101).cast("int").alias("relevance_score"), F.array(F.concat(F.lit("Maker"), n % 7), F.concat(F.lit("Trader"), n % 5)).alias("companies"),
+        F.lit("x").alias("source_api"), (n % 3 > 0).alias("is_sample"),
+    )
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return clustering.cluster_records(members).select(
+        "cluster", F.col("cluster_id"), "canonical_headline", "deal_type", "relevance_score", "max_article_credibility", "credibility_score", "confidence", "article_count", "source_count", "is_sample", "why_it_matters",
+        F.array_join("companies", "|").alias("companies"), F.expr("array_join(transform(sources, s -> s.title), '|')").alias("titles"), day("earliest_published_at").alias("earliest"), day("latest_published_at").alias("latest"),
+    )
+
+
+def _brief_records(spark, sf):
+    n = F.col("c_custkey")
+    return _read(spark, sf, "customer").select(
+        F.format_string("C%06d", n).alias("cluster_id"), F.element_at(F.array(F.lit("High"), F.lit("Medium"), F.lit("Low")), (n % 3 + 1).cast("int")).alias("confidence"), (n % 11).alias("relevance_score"), (n % 7).alias("credibility_score"),
+        F.when(n % 5 > 0, F.timestamp_seconds(n % 13)).alias("latest_published_at"), F.array(F.struct(F.concat(F.lit("t"), n).alias("title"), F.concat(F.lit("u"), n % 50).alias("url"), F.col("c_mktsegment").alias("source_name"), F.lit("").alias("domain"))).alias("sources"),
+        F.concat(F.lit("h"), n).alias("canonical_headline"), F.lit("stake").alias("deal_type"), F.array(F.lit("A")).alias("companies"), F.lit("UK").alias("geography"), F.lit("Other").alias("category"),
+        F.lit("undisclosed").alias("deal_value"), F.lit(1).alias("source_count"), F.lit("why").alias("why_it_matters"),
+    )
+
+
+def brief_ranks(spark, sf):
+    return brief_order(_brief_records(spark, sf)).select("cluster_id", "brief_rank")
+
+
+def brief_appendix(spark, sf):
+    """Addresses in the brief's order, each once."""
+    return appendix(brief_order(_brief_records(spark, sf))).select("url", "cluster_id", "label", "title")
+
+
+def brief_tables(spark, sf):
+    """Highlights and watchlist as rows of their sheets."""
+    r = _brief_records(spark, sf)
+    return brief_rows(r, False).withColumn("watch", F.lit(False)).unionByName(brief_rows(r, True).withColumn("watch", F.lit(True))).select("cluster_id", "canonical_headline", "companies", "confidence", "watch")
 
 
 def dedupe_exact_url(spark, sf):
@@ -143,7 +269,9 @@ def fuzzy_title_pairs(spark, sf):
 
 
 def relevance(spark, sf):
-    out = scoring.score_relevance(articles(spark, sf), DEMO)
+    a = articles(spark, sf)
+    priced = F.when(F.col("row_idx") % 5 == 0, F.concat("title", F.lit(" at $"), "row_idx", F.lit(" million"))).otherwise(F.col("title"))
+    out = scoring.score_relevance(a.withColumn("title", priced), DEMO)
     return out.select("article_id", "relevance_score", F.array_join("relevance_reasons", ",").alias("reasons"), "status")
 
 
@@ -289,5 +417,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         dedupe_fuzzy_title, dedupe_similar_text, dedupe_all, fuzzy_title_pairs, relevance, credibility, group_credibility, confidence_labels, detect_deal_type, detect_category,
         detect_geography, extract_value, extract_companies, best_turn, ordered_roles, source_counts, top_three, latest_span, embedding_cosines, interval_pairs, text_pairs,
         evidence_rows, flat_events, sheet_cells, rejected_rows, table_search, counts_by_window,
+        present_rows, json_sources, rss_sources, sample_dates, preferred_rows, shown_clusters, seed_groups, company_groups, event_records, brief_ranks, brief_appendix, brief_tables,
     )
     return {f.__name__: f for f in fs}
