@@ -27,15 +27,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; an own one only where none is set (tests)."""
+    """The folder shared by driver and executors; an own one on one machine only (tests)."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = os.environ.setdefault("LEDGERLINE_SCRATCH", tempfile.mkdtemp(prefix="ledgerline-"))
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(path)
-        path = f"file://{path}"
-    return path
+    if path:
+        return path
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if "LEDGERLINE_SCRATCH" not in os.environ:
+        os.environ["LEDGERLINE_SCRATCH"] = tempfile.mkdtemp(prefix="ledgerline-")
+    return "file://" + os.environ["LEDGERLINE_SCRATCH"]
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

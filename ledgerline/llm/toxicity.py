@@ -227,10 +227,11 @@ def languages(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", settings: Settings | None = None) -> Model:
-    """Train on at most rows_per_class rows of either label and at most `sample_bytes` of text, those of the smallest key hashes.
+    """Train on at most rows_per_class keys of either label and at most `sample_bytes` of text, those of the smallest key hashes.
 
-    A key's label is its largest one; null labels and keys that docs lack don't count. A fifth of the sample isn't
-    fitted on but sets the thresholds.
+    A key's label is its largest one and its text its smallest one, so repeated rows count once; null labels and keys that
+    docs lack don't count. Texts that don't fit into what is left of the bytes are passed over. A fifth of the sample isn't
+    fitted on but sets the thresholds. Without labelled texts, no text is toxic.
     """
     s = settings or Settings()
     spark = docs.sparkSession
@@ -240,10 +241,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     picked = own.where("label = 1").orderBy("h", "key").limit(s.rows_per_class).union(own.where("label = 0").orderBy("h", "key").limit(s.rows_per_class))
     # at most 2 * rows_per_class rows are broadcast
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key")
-    sample = C.materialise(rows.select("h", "label", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")), "toxic-sample")
+    rows = rows.select("h", "label", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    sample = C.materialise(rows.groupBy("h", "label").agg(F.min("text").alias("text")), "toxic-sample")
     sizes = sample.select("h", F.octet_length("text").alias("n")).orderBy(F.xxhash64("h"), "n").toPandas()
-    within = sizes[sizes["n"].cumsum() <= s.sample_bytes]
-    got = sample.where(F.col("h").isin(within["h"].unique().tolist())) if len(within) < len(sizes) else sample
+    left, within = s.sample_bytes, []
+    for h, n in zip(sizes["h"].tolist(), sizes["n"].tolist(), strict=True):
+        if n <= left:
+            left -= n
+            within.append(h)
+    got = sample.where(F.col("h").isin(within)) if len(within) < len(sizes) else sample
     got = got.orderBy(F.xxhash64("h"), "text").toPandas()
     texts, lang = [], []
     for x in got["text"]:

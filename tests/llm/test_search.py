@@ -270,6 +270,16 @@ def test_toxicity_on_held_out_rows(spark, make_docs, odd_texts):
     assert toxicity.score(make_docs([]), flat).count() == 0
 
 
+def test_a_labelled_text_beyond_the_bytes_is_passed_over(make_docs):
+    rng = random.Random(9)
+    rows = [(i, " ".join(words(rng, 30) + (["idiot"] if i % 2 else []))) for i in range(120)]
+    few = toxicity.Settings(sample_bytes=100_000, epochs=2)
+    labels = make_docs([]).sparkSession.createDataFrame([(i, i % 2) for i in range(121)], "doc_id long, toxic int")
+    long = [(120, "x" * 200_000)]
+    models = [toxicity.fit(make_docs(r), labels, settings=few) for r in (rows, rows + long, rows + long + rows)]
+    assert models[0].thresholds == models[1].thresholds == models[2].thresholds
+
+
 def test_languages():
     texts = [b"the cat and the dog of it", "der Hund und die Katze für".encode(), b"les chats et des chiens pour", b"los gatos y el perro con una", b"xyz"]
     _, _, h, first = C.hash_words(texts, C.NOT_ALNUM)
