@@ -185,7 +185,7 @@ def company_groups(spark, sf):
     """Orders as seeds whose companies are a customer and three customers' owner: what either connects is one group."""
     o = _read(spark, sf, "orders")
     keys = F.array(F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("k"), F.floor(F.col("o_custkey") / 3)))
-    return clustering.company_components(o.select(F.col("o_orderkey").alias("seed"), keys.alias("keys")))
+    return clustering.connected(o.select(F.col("o_orderkey").alias("seed"), keys.alias("keys")))
 
 
 def event_records(spark, sf):

@@ -1,6 +1,7 @@
 """Registered queries against their SQL, on the smallest tables."""
 
 import glob
+from datetime import timedelta
 from pathlib import Path
 
 import pytest
@@ -35,6 +36,29 @@ def test_against_sql(spark, duck, name):
     assert _rows(ours) == _rows(theirs)
 
 
+def test_similar_titles_are_those_of_all_pairs(spark):
+    """The pages' titles, which SQL is too slow for: all pairs, and the walk over them in order of preference."""
+    from ledgerline.functions.similarity import token_set_ratio
+    from ledgerline.operators.cleaning import apply_cleaning
+    from ledgerline.operators.dedupe import preference
+    from ledgerline.plans.queries import page_articles
+
+    rows = apply_cleaning(page_articles(spark, SF)).select("row_idx", "article_id", "normalized_title", "published_at", preference().alias("p")).orderBy("p").collect()
+    near = lambda a, b: a["published_at"] and b["published_at"] and abs(a["published_at"] - b["published_at"]) <= timedelta(days=14)
+    pairs = {frozenset((a["row_idx"], b["row_idx"])) for n, a in enumerate(rows) for b in rows[:n] if near(a, b) and token_set_ratio(a["normalized_title"], b["normalized_title"]) >= 90}
+    got = queries()["fuzzy_title_pairs"](spark, SF).collect()
+    assert {frozenset((r["i"], r["j"])) for r in got} == pairs and len(got) == len(pairs)
+    kept, leader = [], {}
+    for r in rows:
+        to = next((k for k in kept if frozenset((k["row_idx"], r["row_idx"])) in pairs), None)
+        if to:
+            leader[r["article_id"]] = to["article_id"]
+        else:
+            kept.append(r)
+    flagged = queries()["dedupe_fuzzy_title"](spark, SF).where("dedupe_status = 'duplicate'").collect()
+    assert {r["article_id"]: r["duplicate_of"] for r in flagged} == leader
+
+
 def test_entry_imports_without_the_corpus_operators(monkeypatch):
     import sys
 
