@@ -123,7 +123,7 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
 
     Pairs of one group with a cosine of at least s.cosine link. Candidates share a chunk of their codes in some table;
     each is reranked with the original vectors in double precision, at the first table it shares. A bucket's rows are
-    dealt to blocks of about `block`, each pair of blocks is one task's group, and only counts and a spanning forest
+    dealt to blocks of about `block`, each pair of blocks is a group of its own, and only counts and a spanning forest
     leave it: no list of pairs is ever made, however large a group of copies is.
 
     Vectors that are null, empty or zero or hold a null or non-finite component, and rows without group or key, link with
@@ -159,27 +159,34 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
     dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "table", "kin", "key", "unit", "chunks")
     least = s.cosine
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, own, kins = pdf["key"].to_numpy(), pdf["own"].to_numpy(), pdf["kin"].to_numpy()
-        x, y, table = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0]), int(pdf["table"].iloc[0])
-        units = np.frombuffer(b"".join(pdf["unit"]), np.float64).reshape(len(pdf), -1)
+    def links(g: pd.DataFrame) -> pd.DataFrame:
+        """The links of one pair of blocks of a bucket."""
+        ids, own, kins = g["key"].to_numpy(), g["own"].to_numpy(), g["kin"].to_numpy()
+        x, y, table = int(g["x"].iloc[0]), int(g["y"].iloc[0]), int(g["table"].iloc[0])
+        units = np.frombuffer(b"".join(g["unit"]), np.float64).reshape(len(g), -1)
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
         i, j = np.nonzero(units[left] @ units[right].T >= least)
         i, j = left[i], right[j]
         ok = (i < j if x == y else np.ones(len(i), bool)) & (kins[i] == kins[j])
         i, j = i[ok], j[ok]
-        chunks = np.stack(pdf["chunks"].to_list())
-        same = np.ones(len(i), bool)
-        for t in range(table):  # a pair counts at the first table that it shares
-            same &= chunks[i, t] != chunks[j, t]
+        if not len(i):
+            return g.iloc[:0]
+        chunks = np.stack(g["chunks"].to_list())
+        same = (chunks[i, :table] != chunks[j, :table]).all(1)  # a pair counts at the first table that it shares
         i, j = i[same], j[same]
         n = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
         hit = np.flatnonzero(n)
         return pd.DataFrame({"a": ids[hit], "b": ids[_roots(len(ids), i, j)][hit], "n": n[hit]})
 
-    found = C.materialise(dealt.groupBy("bucket", "x", "y").applyInPandas(compare, f"a {kind}, b {kind}, n long"), "links")
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf[["bucket", "x", "y"]].to_numpy(np.int64)
+        edge = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]).any(1), [True])))
+        out = [r for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if b - a > 1 and len(r := links(pdf.iloc[a:b]))]
+        return pd.concat(out, ignore_index=True) if out else pdf.iloc[:0]
+
+    found = C.materialise(C.by_groups(dealt, ["bucket", "x", "y"], [], compare, f"a {kind}, b {kind}, n long", rows=2048), "links")
     label = C.components(found.select("a", "b").where("a != b"))
-    links = found.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
-    out = rows.select("key").join(links, "key", "left").join(label.withColumnRenamed("node", "key"), "key", "left")
+    counted = found.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
+    out = rows.select("key").join(counted, "key", "left").join(label.withColumnRenamed("node", "key"), "key", "left")
     component = F.coalesce("label", "key")
     return out.select("key", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
