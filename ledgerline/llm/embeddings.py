@@ -151,9 +151,12 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
 
     kin = able.select("key", F.xxhash64("group").alias("kin"), "vec")
     codes = C.materialise(kin.mapInPandas(encode, f"key {kind}, kin long, unit binary, chunks array<long>"), "codes")
-    spread = codes.select("key", "unit", "chunks", "kin", F.posexplode("chunks").alias("table", "chunk")).withColumn("bucket", F.xxhash64("kin", "table", "chunk"))
-    sizes = C.materialise(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
-    dealt = spread.join(sizes, "bucket").withColumn("g", F.ceil(F.col("n") / s.block).cast("int"))
+    spread = codes.select("key", F.posexplode("chunks").alias("table", "chunk"), "kin").select("key", "table", F.xxhash64("kin", "table", "chunk").alias("bucket"))
+    sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = spread.join(sizes, "bucket").select("key", F.struct("bucket", "table", F.ceil(F.col("n") / s.block).cast("int").alias("g")).alias("m"))
+    met = met.groupBy("key").agg(F.collect_list("m").alias("ms"))  # one for each table
+    # vectors join once, by key, and are shuffled once more, with all their buckets
+    dealt = codes.join(met, "key").select("key", "unit", "chunks", "kin", F.explode("ms").alias("m")).select("key", "unit", "chunks", "kin", "m.*")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key", "bucket"), F.col("g")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
     dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "table", "kin", "key", "unit", "chunks")
