@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import decontaminate, embeddings, licenses, minhash, packing, secrets, sharding, substrings, token_counts, toxicity
+from . import byte_bpe, decontaminate, embeddings, importance, licenses, minhash, packing, search, secrets, sharding, substrings, token_counts, toxicity
 from .oracles import oracle_sql as oracle_sql
 
 
@@ -104,5 +104,28 @@ def op10_histogram_packing(spark: SparkSession, sf_dir: str, tokenizer: str | No
     return packing.pack(C.materialise(pieces, "pieces"), key=("doc_id", "start"))
 
 
+def op11_two_tier_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    if ranks is None or pattern is None:
+        import public_tokenizers
+
+        ranks, pattern = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    out = byte_bpe.decode(byte_bpe.encode(C.read(spark, sf_dir, "documents"), ranks, pattern), ranks)
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select(
+        F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op12_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.build(C.read(spark, sf_dir, "documents"))
+    out = search.search(index, C.read(spark, sf_dir, "benchmark"), k=20)
+    return out.select(F.col("item").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "benchmark"), importance.Settings(shortest=1, longest=1))
+    return out.withColumnRenamed("key", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
