@@ -81,17 +81,16 @@ def run(
     """
     c = config or Config()
     warning = ""
-    try:
+    try:  # a source's rows are read here, so that one that fails while it is read is caught too
         got = source(timespan)
-        live = align(got) if got is not None else empty_articles(spark)
+        live = written(numbered(in_timespan(align(got) if got is not None else empty_articles(spark), timespan, now)), "live")
     except Exception as e:  # a source is foreign code: whatever it raises is reported
-        live, warning = empty_articles(spark), f"Live fetch failed: {e}"
-    live = written(in_timespan(live, timespan, now), "live")
+        live, warning = written(empty_articles(spark), "live"), f"Live fetch failed: {e}"
     processed = process(live, c)
     live_included = include_count(processed)
     used, reason, raw = False, "", live
     if fallback and sample is not None and live_included < c.fallback_below:
-        used, reason, raw = True, f"{live_included} included canonical articles, fewer than {c.fallback_below}", align(sample)
+        used, reason, raw = True, f"{live_included} included canonical articles, fewer than {c.fallback_below}", written(numbered(align(sample)), "sample")
         processed = process(raw, c)
     ids, events = cluster_deals(candidates(processed, c.min_relevance, c.min_credibility), c)
     shown = visible(events, c.min_relevance, c.min_credibility)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.config import Config, search_query
 from ledgerline.functions import text as T
-from ledgerline.functions.similarity import cosine_pairs, fuzzy_pairs, ratio_bound, tfidf, token_set_ratio
+from ledgerline.functions.similarity import class_cosines, cosine_pairs, fuzzy_pairs, ratio_bound, tfidf, token_set_ratio, vector_classes
 from ledgerline.operators.cleaning import timespan, with_when
 from ledgerline.operators.scoring import cluster_credibility, confidence, query_family, tier
 
@@ -110,15 +110,37 @@ def test_cosine_pairs_are_all_pairs(spark):
     assert {(r["i"], r["j"]) for r in cosine_pairs(tfidf(rows, frozenset()), 0.6).collect()} == want
 
 
+def test_classes_of_near_copies(spark):
+    """2,000 near copies of one text, most of them exact: classes are met, and not their members."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[: 57 + i % 4]) if i % 50 else " ".join([*base[:50], *(f"x{i}.{j}" for j in range(10))]) for i in range(2000)]
+    texts += [" ".join(f"y{rng.randrange(300)}" for _ in range(40)) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_idx long, text string").repartition(4)
+    vectors = tfidf(rows, frozenset()).cache()
+    classes = vector_classes(vectors)
+    by_text = {}
+    for i, t in enumerate(texts):
+        by_text.setdefault(tuple(sorted(t.split())), []).append(i)
+    assert {r["key"]: r["rep"] for r in classes.collect()} == {i: min(v) for v in by_text.values() for i in v}
+    own = {}
+    for r in vectors.collect():
+        own.setdefault(r["key"], {})[r["term"]] = r["w"]
+    reps = sorted(min(v) for v in by_text.values())
+    want = {(a, b) for n, b in enumerate(reps) for a in reps[:n] if sum(w * own[b].get(t, 0) for t, w in own[a].items()) >= 0.82}
+    got = {(r["i"], r["j"]) for r in class_cosines(vectors, classes, 0.82).collect()}
+    assert got == want and len(reps) < 350 and len(got) >= 6
+
+
 def test_fuzzy_pairs_lose_no_match(spark):
     """At any ratio, the pairs are those of all pairs; titles of few letters, of one long word, and of shared words."""
     rng = random.Random(2)
-    titles = ["ha" * 30, "ha" * 29 + "hx", "a b", "b a", "the", "the quick brown fox acquires a hen", "acquires hen"]
+    titles = ["ha" * 30, "ha" * 29 + "hx", "a b", "b a", "the", "the quick brown fox acquires a hen", "acquires hen", "a b c d e f g h i", "a b c d e f g h j", "ab c d e f g h i", "aquires hens", "alfa betas acqires", "alpha beta acquires"]
     for _ in range(60):
         ws = [rng.choice(["alpha", "beta", "acquires", "acquired", "stake", "stakes", "group", "of", "in", "x1"]) for _ in range(rng.randint(1, 8))]
         titles.append(" ".join(ws))
     df = spark.createDataFrame([(i, t, datetime(2024, 1, 1 + i % 20)) for i, t in enumerate(titles)], "row_idx long, normalized_title string, published_at timestamp")
-    for least in (70.0, 90.0, 95.0):
+    for least in (60.0, 70.0, 80.0, 85.0, 90.0, 95.0, 100.0):
         want = {(i, j) for i in range(len(titles)) for j in range(i + 1, len(titles)) if abs(i % 20 - j % 20) <= 14 and token_set_ratio(titles[i], titles[j]) >= least}
         assert {(r["i"], r["j"]) for r in fuzzy_pairs(df, least, 14).collect()} == want and want
 

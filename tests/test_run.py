@@ -65,3 +65,20 @@ def test_a_failing_source_is_reported(spark):
     out = run(spark, broken, NOW + timedelta(days=1))
     assert "no network" in out.metadata["fetch_warning"] and out.metadata["cluster_count"] == 0
     assert "No deal clusters identified" in out.markdown
+
+
+def test_a_source_that_fails_while_it_is_read(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerline.schema import ARTICLE
+
+    def late(span):
+        broken = spark.range(3).select(F.raise_error(F.lit("connection reset")).cast("string").alias("title"), F.lit(NOW).alias("published_at"))
+        return empty_articles(spark).unionByName(broken, allowMissingColumns=True)
+
+    out = run(spark, late, NOW)
+    assert "connection reset" in out.metadata["fetch_warning"] and out.metadata["raw_rows"] == 0 and set(out.processed.columns) >= set(ARTICLE)
+
+
+def test_raw_articles_have_the_ids_of_the_processed(result):
+    assert sorted(r["article_id"] for r in result.raw.collect()) == sorted(r["article_id"] for r in result.processed.collect())
