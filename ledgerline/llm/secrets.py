@@ -140,6 +140,25 @@ def candidates(lists: DataFrame, wanted: list[str], demands: list) -> DataFrame:
     return lists.groupBy("key", "digest").agg(*own).select("key", "digest", met.alias("rules")).where("rules != 0")
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _in_parts(items: Column, size, make) -> Column:
+    """All arrays that make(part, offset) gives for the parts of an array, joined. offset: the sum of size(item) before
+    the part. Parts have about the root of the array's length, so what is put together item by item stays short."""
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda n, x: n + size(x))
+    before = lambda parts: F.aggregate(F.transform(parts, total), zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    def cut(x: Column) -> Column:
+        step = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(x)))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), step), lambda i: F.slice(x, i + 1, step))
+
+    return _let(items, lambda x: _let(cut(x), lambda parts: F.flatten(F.transform(F.arrays_zip(parts.alias("part"), before(parts).alias("offset")), lambda z: make(z["part"], z["offset"])))))
+
+
 def _spans(rule: Rule, order: int) -> Column:
     """Leftmost non-overlapping matches of the rule in `text`: array of (start, ord, kind, end), code points, end exclusive.
 
@@ -149,17 +168,21 @@ def _spans(rule: Rule, order: int) -> Column:
     found = F.regexp_extract_all("text", pattern, F.lit(0))
     value = F.regexp_extract_all("text", pattern, F.lit(rule.group)) if rule.group else found
     parts = F.arrays_zip(F.split("text", rule.pattern, -1).alias("gap"), found.alias("hit"), value.alias("value"))
+    sizes = F.transform(
+        parts,
+        lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.coalesce(F.length(x["hit"]), F.lit(0)).alias("hit"), (x["hit"].isNotNull() & (F.length(x["value"]) >= rule.least)).alias("keep")),
+    )
     kind = "array<struct<start:bigint,ord:int,kind:string,end:bigint>>"
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), end.alias("end"))).cast(kind)
-        keep = x["hit"].isNotNull() & (F.length(x["value"]) >= rule.least)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        start = acc["at"] + x["gap"]
+        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), (start + x["hit"]).alias("end"))).cast(kind)
+        return F.struct((start + x["hit"]).alias("at"), F.when(x["keep"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    def make(part: Column, offset: Column) -> Column:
+        return F.aggregate(part, F.struct(offset.alias("at"), F.array().cast(kind).alias("out")), add)["out"]
 
-    return F.aggregate(parts, zero, add)["out"]
+    return _in_parts(sizes, lambda x: (x["gap"] + x["hit"]).cast("long"), make)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
