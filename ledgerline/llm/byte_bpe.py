@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
-import heapq
 import unicodedata
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -17,9 +19,9 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 #: Texts are split in windows of about this many characters, so that a long text's pre-tokens are never all held.
-WINDOW = 1 << 20
+WINDOW = 1 << 19
 #: Merged pre-tokens that a worker keeps; the cache is emptied beyond that.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 
 _RNG = np.random.default_rng(11)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -148,22 +150,30 @@ class ByteBPE:
         costs a heap operation and not a pass over the word; pairs whose parts have changed are passed over."""
         n, rank = len(word), self.ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n))
-        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
-        heapq.heapify(heap)
+        pair = [rank(word[i : i + 2], -1) for i in range(n - 1)]  # the rank of the part that begins here with the next one
+        shift = n.bit_length()
+        heap, low = [r << shift | i for i, r in enumerate(pair) if r >= 0], (1 << shift) - 1
+        pair.append(-1)
+        heapify(heap)
         while heap:
-            _, i, mid, end = heapq.heappop(heap)
-            if after[i] != mid or after[mid] != end:
+            x = heappop(heap)
+            i = x & low
+            if pair[i] != x >> shift:
                 continue
-            after[i], after[mid] = end, 0
+            mid = after[i]
+            end = after[i] = after[mid]
+            pair[mid] = pair[i] = -1
             if end < n:
                 before[end] = i
-                far = after[end]
-                if far - i <= self.longest and (r := rank(word[i:far])) is not None:
-                    heapq.heappush(heap, (r, i, end, far))
+                r = rank(word[i : after[end]], -1)
+                if r >= 0:
+                    pair[i] = r
+                    heappush(heap, r << shift | i)
             if i:
                 left = before[i]
-                if end - left <= self.longest and (r := rank(word[left:end])) is not None:
-                    heapq.heappush(heap, (r, left, i, end))
+                pair[left] = r = rank(word[left:end], -1)
+                if r >= 0:
+                    heappush(heap, r << shift | left)
         out, i = [], 0
         while i < n:
             out.append(self.ranks[word[i : after[i]]])
@@ -188,15 +198,15 @@ class ByteBPE:
         for w in own.take(pa.array(missed)).to_pylist():
             ids = self.cache.get(w)
             if ids is None:
-                ids = self.merge(w)
+                ids = array("i", self.merge(w)).tobytes()
                 if len(w) <= 64:
                     if len(self.cache) >= CACHE_WORDS:
                         self.cache.clear()
                     self.cache[w] = ids
             merged.append(ids)
-        size[missed] = [len(x) for x in merged]
+        size[missed] = [len(x) // 4 for x in merged]
         flat, of_missed = np.empty(int(size.sum()), np.int32), np.repeat(slot < 0, size)
-        flat[of_missed] = np.fromiter(chain.from_iterable(merged), np.int32)
+        flat[of_missed] = np.frombuffer(b"".join(merged), np.int32)
         flat[~of_missed] = self.id[slot[slot >= 0]]
         offsets = pa.array(np.append(0, np.cumsum(size)), pa.int64())
         return pa.LargeListArray.from_arrays(offsets, pa.array(flat)).take(pa.array(which)).flatten().to_numpy(), size[which]
@@ -224,8 +234,43 @@ class ByteBPE:
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(flat, pa.int32()))
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids): each whole text's ids under the rank file `ranks`, a file that every machine has at that path.
+class Decoder:
+    """Bytes of lists of ids: all ids of a batch are looked up at once, and the lists' ends cut what comes out."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.place = np.full(max(ranks.values(), default=-1) + 1, -1, np.int64)
+        self.place[np.fromiter(ranks.values(), np.int64, len(ranks))] = np.arange(len(ranks))
+        self.tokens = pa.array(list(ranks), pa.binary())
+
+    def __call__(self, lists: pa.ListArray) -> pa.Array:
+        at = lists.flatten()
+        if at.null_count:
+            raise ValueError("null among ids")
+        x = at.to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(x) and (x.min() < 0 or x.max() >= len(self.place) or self.place[x].min() < 0):
+            raise ValueError("an id isn't in the vocabulary")
+        size = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))
+        flat = self.tokens.take(pa.array(self.place[x]))
+        ends = np.frombuffer(flat.buffers()[1], np.int32)[: len(x) + 1] if len(x) else np.zeros(1, np.int32)
+        whole = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends[size].astype(np.int32).tobytes()), flat.buffers()[2] or pa.py_buffer(b"")])
+        return pc.if_else(pc.is_null(lists), pa.scalar(None, pa.binary()), whole)
+
+
+@lru_cache(maxsize=1)
+def _coder(path: str, pattern: str) -> tuple[ByteBPE, Decoder]:
+    """Built once a worker, and not once a task."""
+    ranks = load_ranks(path)
+    return ByteBPE(ranks, pattern), Decoder(ranks)
+
+
+@lru_cache(maxsize=1)
+def _decoder(path: str) -> Decoder:
+    return Decoder(load_ranks(path))
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(key, ids): each whole text's ids under the rank file `ranks`, a file that every machine has at that path. With
+    `decoded`, also the bytes that the ids stand for, decoded from the ids by the same worker.
 
     Null and empty texts have an empty list. Very long texts are split window by window; a pre-token of any length is merged
     in n log n. Repeated rows, null keys and equal keys each give their own row; an empty table gives none. Other columns
@@ -235,12 +280,15 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(load_ranks(ranks), pattern)
+        bpe, back = _coder(ranks, pattern)
         for batch in batches:
             for part, texts in C.blocks(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), bpe([t.decode("utf-8", "replace") for t in texts])], names=["key", "ids"])
+                ids = bpe([t.decode("utf-8", "replace") for t in texts])
+                more = {"decoded": back(ids)} if decoded else {}
+                yield pa.RecordBatch.from_pydict({"key": part.column(0), "ids": ids} | more)
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ids array<int>")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"key {kind}, ids array<int>" + (", decoded binary" if decoded else ""))
 
 
 def decode(rows: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -251,22 +299,8 @@ def decode(rows: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded")
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, `{out}` binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = load_ranks(ranks)
-        by_id = np.full(max(table.values(), default=-1) + 1, -1, np.int64)
-        by_id[np.fromiter(table.values(), np.int64, len(table))] = np.arange(len(table))
-        tokens = pa.array(list(table), pa.binary())
+        back = _decoder(ranks)
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            at = lists.flatten()
-            if at.null_count:
-                raise ValueError("null among ids")
-            x = at.to_numpy(zero_copy_only=False).astype(np.int64)
-            if len(x) and (x.min() < 0 or x.max() >= len(by_id) or by_id[x].min() < 0):
-                raise ValueError("an id isn't in the vocabulary")
-            size = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))
-            flat = tokens.take(pa.array(by_id[x]))
-            ends = np.frombuffer(flat.buffers()[1], np.int32)[: len(x) + 1] if len(x) else np.zeros(1, np.int32)
-            whole = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends[size].astype(np.int32).tobytes()), flat.buffers()[2] or pa.py_buffer(b"")])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(pc.is_null(lists), pa.scalar(None, pa.binary()), whole)], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, back(batch.column(batch.schema.get_field_index(ids)))], names=[*batch.schema.names, out])
 
     return rows.mapInArrow(run, schema)

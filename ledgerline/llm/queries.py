@@ -109,7 +109,7 @@ def op11_two_tier_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None
         import public_tokenizers
 
         ranks, pattern = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    out = byte_bpe.decode(byte_bpe.encode(C.read(spark, sf_dir, "documents"), ranks, pattern), ranks)
+    out = byte_bpe.encode(C.read(spark, sf_dir, "documents"), ranks, pattern, decoded=True)
     decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select(
         F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -15,6 +16,7 @@ from ledgerline.llm import decontaminate, licenses, queries, secrets
 from ledgerline.llm.oracles import oracle_sql
 
 from .conftest import words
+from .test_lexical import ranking
 from .test_search import _edited, _roots
 from .test_small import BASE, SECRETS
 
@@ -54,7 +56,7 @@ def _rows(spark, sf, name):
 
 
 def test_names():
-    assert sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))[0].startswith("op1_") and len(queries.queries()) == 10
+    assert sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))[0].startswith("op1_") and len(queries.queries()) == 13
     assert set(oracle_sql()) <= set(queries.queries())
 
 
@@ -203,3 +205,42 @@ def test_op10(spark, sf, docs):
         assert [o for o, _ in s] == np.cumsum([0] + [n for _, n in s])[:-1].tolist() and sum(n for _, n in s) <= 2048
     fill = sum(n for s in seqs.values() for _, n in s) / (2048 * len(seqs))
     assert fill >= 0.95 or len(seqs) == -(-sum(len(x) for _, x in ids) // 2048)
+
+
+def test_op11(spark, sf, docs):
+    tiktoken = pytest.importorskip("tiktoken")
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for i, t, *_ in docs:
+        ids = enc.encode_ordinary(t or "")
+        want[(i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())] += 1
+    assert Counter(tuple(r) for r in _rows(spark, sf, "op11_two_tier_bpe")) == want
+
+
+def test_op12(spark, sf, docs):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want = ranking([(i, t) for i, t, *_ in docs], items, 20)
+    assert Counter(tuple(r) for r in _rows(spark, sf, "op12_block_max_search")) == want and sum(want.values()) > 100
+
+
+def test_op13(spark, sf, docs):
+    def buckets(t):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+        return [zlib.crc32(w.encode()) % 10_000 for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)]
+
+    items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    own = [(i, buckets(t)) for i, t, *_ in docs]
+    s, t = Counter(b for _, x in own for b in x), Counter(b for x in items for b in buckets(x))
+    gain = {b: math.floor(1000 * math.log((t[b] + 1) * (s.total() + 10_000) / ((s[b] + 1) * (t.total() + 10_000)))) for b in range(10_000)}
+    want = []
+    for i, x in own:
+        weight = sum(gain[b] for b in x) // len(x) if x else 0
+        h = int(hashlib.sha256(f"2024:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        want.append((i, len(x), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    able = sorted(((-r[3], r[0] is None, r[0] or 0) for r in want if r[1] >= 20))
+    out = _rows(spark, sf, "op13_importance_resampling")
+    assert Counter((r["doc_id"], r["n_features"], r["weight"], r["score"]) for r in out) == Counter(want)
+    drawn = sorted((r["rank"], -r["score"], r["doc_id"] is None, r["doc_id"] or 0) for r in out if r["rank"])
+    assert [r[1:] for r in drawn] == able[: 10 * len(able) // 100] and [r[0] for r in drawn] == list(range(1, len(drawn) + 1)) and len(drawn) > 10
