@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterable
 
@@ -84,13 +85,24 @@ def display_title(title: Column | str) -> Column:
     return F.trim(F.regexp_replace(_text(title), r"\s+(?:-|\|)\s+.{1,45}$", ""))
 
 
-_FOLDED = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in range(0xA0, 0x250)}
+#: Every character beyond ASCII whose decomposition has ASCII in it: what is left of it.
+_FOLDED = {chr(c): v for c in range(0xA0, sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF and (v := unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode())}
 _ONE = {k: v for k, v in _FOLDED.items() if len(v) == 1}
+_MORE = {k: v for k, v in _FOLDED.items() if len(v) > 1}
+_ANY_MORE = "[" + "".join(re.sub(r"[\[\]\\^&-]", r"\\\g<0>", k) for k in _MORE) + "]"
 
 
 def accent_fold(text: Column | str) -> Column:
-    """Accented Latin letters without accents; other characters outside ASCII are dropped."""
-    return F.regexp_replace(F.translate(_text(text), "".join(_ONE), "".join(_ONE.values())), r"[^\x00-\x7F]", "")
+    """Decomposed characters without their marks, as NFKD gives them; other characters outside ASCII are dropped.
+
+    Characters that stand for one are mapped at once; of those that stand for several (ligatures, fractions, units) each
+    kind that a text has is replaced by itself.
+    """
+    text = _text(text)
+    several = F.create_map(*(F.lit(x) for kv in _MORE.items() for x in kv))
+    spelled = F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit(_ANY_MORE), F.lit(0))), text, lambda t, c: F.replace(t, c, F.element_at(several, c)))
+    plain = F.when(F.rlike(text, F.lit(_ANY_MORE)), spelled).otherwise(text)
+    return F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), F.regexp_replace(F.translate(plain, "".join(_ONE), "".join(_ONE.values())), r"[^\x00-\x7F]", "")).otherwise(text)
 
 
 def fold(text: str) -> str:

@@ -206,7 +206,7 @@ def oracle_sql() -> dict[str, str]:
         "title_normalize": f"select doc_id, {_normal(_TITLE)} as normalized_title from documents",
         "title_display": r"select doc_id, trim(regexp_replace(text || ' | ' || source, '\s+(?:-|\|)\s+.{1,45}$', '')) as display_title from documents",
         "snippet_clean": f"select page_id, {_CLEAN_PAGE} as snippet from pages",
-        "accent_fold": r"select doc_id, md5(regexp_replace(strip_accents(regexp_replace(text, '[^\x00-\x7FÀ-ÖØ-öù-ÿñ]', '', 'g')), '[^\x00-\x7F]', '', 'g')) as folded_md5 from documents",
+        "accent_fold": r"select doc_id, md5(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')) as folded_md5 from documents",
         "word_counts": r"select doc_id, cast(len(regexp_extract_all(regexp_replace(text, '[\p{L}\p{N}\p{M}_]', 'a', 'g'), '\b[\w$€£₹.-]+\b')) as integer) as n_words from documents",
         "lookback_filter": "select event_id, event_type from events, (select max(ts) m from events) where ts >= m - interval 7 day and ts <= m + interval 1 day",
         "dedupe_repeated": f"select canonical_url, 3 * count(*) as n, 1 as n_canonical, 3 * count(*) as n_ids from ({_CANONICAL}) where canonical_url <> '' group by 1",
@@ -246,5 +246,11 @@ def oracle_sql() -> dict[str, str]:
         "brief_ranks": f"with {_BRIEF} select cluster_id, brief_rank from ranked",
         "brief_appendix": f"with {_BRIEF} select 'u' || n % 50 url, arg_min(cluster_id, brief_rank) cluster_id, arg_min(c_mktsegment, brief_rank) label, arg_min('t' || n, brief_rank) title from ranked group by 1",
         "brief_tables": f"with {_BRIEF} select cluster_id, 'h' || n canonical_headline, 'A' companies, confidence, confidence = 'Low' watch from ranked",
+        "source_rows": "select 'api_' || lang source_api, count(*) n from documents group by 1",
+        "run_counts": f"with s as ({_relevance(_CLEAN_DOC)}), d as ({_BY_TITLE} select {_STATUS.format('exact_title_14d')}) select count(*) all_rows, count(*) filter (where dedupe_status = 'duplicate') duplicates, count(*) filter (where dedupe_status = 'canonical' and status = 'include') included from s join d using (article_id)",
+        "event_candidates": "select o_orderkey from orders where o_orderkey % 5 <> 0 and o_orderkey % 3 < 2 and o_orderkey % 101 >= 55 and o_orderkey * 7 % 101 >= 50",
+        "confidence_levels": "select ['High', 'Medium', 'Low'][cast(c_custkey % 3 + 1 as int)] confidence, count(*) n, min(printf('C%06d', c_custkey)) seen from customer group by 1",
+        "gathered_articles": f"select source_api, 'https://e.com/' || doc_id url from documents d {_AT}, (select unnest(['gdelt', 'newsapi', 'pr_wire_rss']) source_api), (select max(ts) m from events) where published_at >= m - interval 30 day and (source_api = 'pr_wire_rss' or trim({_TITLE}) <> '')",
+        "merged_groups": "select c_custkey, min(c_custkey) over (partition by c_custkey // 4) as cluster, cast(row_number() over (partition by c_custkey // 4 order by c_custkey) - 1 as int) as ord from customer",
         "counts_by_window": "select date_trunc('day', ts) as start, event_type as source_api, count(*) n from events group by 1, 2",
     }

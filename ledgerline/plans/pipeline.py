@@ -37,8 +37,14 @@ def process(raw: DataFrame, config: Config | None = None) -> DataFrame:
     return written(score_articles(dedupe(clean, config), config), "processed")
 
 
+def status_counts(processed: DataFrame) -> DataFrame:
+    """One row: all rows, duplicates, and included canonical ones."""
+    twice, included = F.col("dedupe_status") == "duplicate", (F.col("dedupe_status") == "canonical") & (F.col("status") == "include")
+    return processed.agg(F.count("*").alias("all_rows"), F.count_if(twice).alias("duplicates"), F.count_if(included).alias("included"))
+
+
 def include_count(processed: DataFrame) -> int:
-    return processed.where("dedupe_status = 'canonical' and status = 'include'").count()
+    return status_counts(processed).first()["included"]
 
 
 def visible(events: DataFrame, min_relevance: int, min_credibility: int) -> DataFrame:
@@ -51,8 +57,13 @@ def with_cluster_ids(processed: DataFrame, ids: DataFrame, events: DataFrame) ->
     return processed.join(shown, "row_idx", "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(""))).select(*ARTICLE, "row_idx")
 
 
+def counts_by_source(raw: DataFrame) -> DataFrame:
+    return raw.groupBy("source_api").agg(F.count("*").alias("n"))
+
+
 def source_counts(raw: DataFrame) -> dict[str, int]:
-    return {r["source_api"]: r["n"] for r in raw.groupBy("source_api").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_api").collect()}
+    """By the name of the connector, of which there are few; the most frequent first."""
+    return {r["source_api"]: r["n"] for r in counts_by_source(raw).orderBy(F.desc("n"), "source_api").collect()}
 
 
 def source_warning(counts: dict[str, int]) -> str:
@@ -98,13 +109,13 @@ def run(
     text, brief = make_brief(shown, timespan_label(timespan), run_at or now, used or None)
     worded = polish(brief) if polish else Polished(text, brief, False, "off")
     counts = source_counts(live)
-    n = out.agg(F.count("*").alias("all"), F.count_if(F.col("dedupe_status") == "duplicate").alias("dup"), F.count_if((F.col("dedupe_status") == "canonical") & (F.col("status") == "include")).alias("inc")).first()
+    n = status_counts(out).first()
     mix = brief["snapshot"]["confidence_counts"]
     metadata = {
         "timespan": timespan, "date_range_label": timespan_label(timespan), "min_relevance": c.min_relevance, "min_credibility": c.min_credibility,
         "use_sample_fallback": fallback, "used_sample": used, "fallback_reason": reason, "fetch_warning": warning, "source_warning": source_warning(counts),
-        "source_counts": counts, "live_raw_rows": sum(counts.values()), "raw_rows": raw.count(), "processed_rows": n["all"], "live_include_count": live_included,
-        "include_count": n["inc"], "duplicate_count": n["dup"], "cluster_count": brief["snapshot"]["deal_events"], "high_confidence_count": mix.get("High", 0),
+        "source_counts": counts, "live_raw_rows": sum(counts.values()), "raw_rows": raw.count(), "processed_rows": n["all_rows"], "live_include_count": live_included,
+        "include_count": n["included"], "duplicate_count": n["duplicates"], "cluster_count": brief["snapshot"]["deal_events"], "high_confidence_count": mix.get("High", 0),
         "highlight_count": mix.get("High", 0) + mix.get("Medium", 0), "use_ai_polish": polish is not None, "ai_polish_used": worded.used, "ai_polish_status": worded.status, "ai_polish_warning": worded.warning,
     }
     return Run(raw, out, shown, worded.markdown, worded.brief, metadata)

@@ -17,13 +17,13 @@ from ..config import Config
 from ..functions import text as T
 from ..functions.similarity import cosine_pairs, fuzzy_pairs, tfidf
 from ..operators import clustering, dedupe, scoring
-from ..operators.brief import appendix, brief_order, top_categories
+from ..operators.brief import appendix, brief_order, confidence_mix, top_categories
 from ..operators.cleaning import apply_cleaning, in_timespan, present
 from ..schema import align, numbered
-from ..sources.parsers import PARSERS, sample_rows
+from ..sources.parsers import PARSERS, enabled, fan_in, sample_rows
 from ..sources.sinks import brief_rows, cells, clusters_flat, evidence, rejected_or_duplicate, search
 from ..streaming.articles import windowed_counts
-from .pipeline import visible, with_cluster_ids
+from .pipeline import counts_by_source, status_counts, visible, with_cluster_ids
 
 #: Word lists and weights for the driver's texts.
 DEMO = Config(
@@ -67,8 +67,8 @@ def page_articles(spark: SparkSession, sf: str) -> DataFrame:
 
 def deal_events(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: articles cleaned, flagged, scored and grouped into events."""
-    done = scoring.score_articles(dedupe.dedupe(apply_cleaning(page_articles(spark, sf)), DEMO), DEMO)
-    _, records = clustering.cluster_deals(done.withColumn("status", F.lit("include")), DEMO)
+    done = scoring.score_articles(dedupe.dedupe(apply_cleaning(articles(spark, sf)), DEMO), DEMO)
+    _, records = clustering.cluster_deals(done, DEMO)
     return brief_order(records).withColumn("sources", F.size("sources"))
 
 
@@ -93,7 +93,7 @@ def snippet_clean(spark, sf):
 
 
 def accent_fold(spark, sf):
-    return _read(spark, sf, "documents").select("doc_id", F.md5(T.accent_fold(F.regexp_replace("text", r"[^\x00-\x7FÀ-ÖØ-öù-ÿñ]", ""))).alias("folded_md5"))
+    return _read(spark, sf, "documents").select("doc_id", F.md5(T.accent_fold("text")).alias("folded_md5"))
 
 
 def word_counts(spark, sf):
@@ -250,7 +250,7 @@ def dedupe_repeated(spark, sf):
 
 
 def dedupe_fuzzy_title(spark, sf):
-    out = dedupe.fuzzy_title(dedupe.fresh(apply_cleaning(page_articles(spark, sf))))
+    out = dedupe.fuzzy_title(dedupe.fresh(apply_cleaning(articles(spark, sf))))
     return out.select("article_id", "dedupe_status", "dedupe_reason", "duplicate_of")
 
 
@@ -260,12 +260,12 @@ def dedupe_similar_text(spark, sf):
 
 
 def dedupe_all(spark, sf):
-    out = dedupe.dedupe(apply_cleaning(page_articles(spark, sf)))
+    out = dedupe.dedupe(apply_cleaning(articles(spark, sf)))
     return out.select("article_id", "dedupe_status", "dedupe_reason", "duplicate_of")
 
 
 def fuzzy_title_pairs(spark, sf):
-    return fuzzy_pairs(apply_cleaning(page_articles(spark, sf)), 90.0, 14)
+    return fuzzy_pairs(apply_cleaning(articles(spark, sf)), 90.0, 14)
 
 
 def relevance(spark, sf):
@@ -411,6 +411,54 @@ def counts_by_window(spark, sf):
     return windowed_counts(e).select(F.col("start").cast("timestamp_ntz").alias("start"), "source_api", "n")
 
 
+def source_rows(spark, sf):
+    """Articles by connector, as a run reports them."""
+    return counts_by_source(articles(spark, sf))
+
+
+def run_counts(spark, sf):
+    """All, duplicate and included rows of scored articles."""
+    return status_counts(scoring.score_relevance(dedupe.exact_title(dedupe.fresh(apply_cleaning(articles(spark, sf)))), DEMO))
+
+
+def event_candidates(spark, sf):
+    """Orders as scored articles: which of them may become events at given thresholds."""
+    n = F.col("o_orderkey")
+    status = F.element_at(F.array(F.lit("include"), F.lit("watchlist"), F.lit("reject")), (n % 3 + 1).cast("int"))
+    rows = _read(spark, sf, "orders").select(
+        n, F.when(n % 5 == 0, "duplicate").otherwise("canonical").alias("dedupe_status"), status.alias("status"), (n % 101).cast("int").alias("relevance_score"), (n * 7 % 101).cast("int").alias("credibility_score")
+    )
+    return clustering.candidates(rows, 55, 50).select("o_orderkey")
+
+
+def confidence_levels(spark, sf):
+    return confidence_mix(_brief_records(spark, sf)).select("confidence", "n", "seen")
+
+
+def gathered_articles(spark, sf):
+    """A run's connectors, one of which can't be read: what the others have of the last thirty days, in one table."""
+    c, at = F.col, lambda form: F.date_format("at", form)
+    wire = F.concat(F.lit("<rss version='2.0'><channel><item><title>Deal "), c("doc_id").cast("string"), F.lit("</title><link>"), c("address"), F.lit("</link>"), F.coalesce(F.concat(F.lit("<pubDate>"), at("EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.lit("</pubDate>")), F.lit("")), F.lit("</item></channel></rss>"))
+    made = {
+        "newsapi": F.to_json(F.struct(F.array(F.struct("title", c("text").alias("description"), c("address").alias("url"), at("yyyy-MM-dd'T'HH:mm:ssXXX").alias("publishedAt"))).alias("articles"))),
+        "gdelt": F.to_json(F.struct(F.array(F.struct("title", c("address").alias("url"), at("yyyyMMdd'T'HHmmss'Z'").alias("seendate"))).alias("articles"))),
+        "pr_wire_rss": wire,
+    }
+    now = _read(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    names = enabled({"newsapi": "key"}, gdelt=True)
+    landed = {n: (lambda n=n: _landed(spark, sf, made[n])) for n in names}  # google_news_rss has nothing landed and fails by itself
+    return fan_in(spark, landed, "30d", now).select("source_api", "url")
+
+
+def merged_groups(spark, sf):
+    """Customers as groups of one article: neighbours are similar, four in a row share a company. Contracted in rounds."""
+    n = F.col("c_custkey")
+    rows = _read(spark, sf, "customer")
+    members = rows.select(n.alias("row_idx"), n.alias("rank"), n.alias("seed"), F.array(F.concat(F.lit("k"), F.floor(n / 4))).alias("keys"), F.timestamp_seconds(n % 4 * 86_400).alias("published_at"))
+    pairs = rows.select(n.alias("i"), (n + 1).alias("j"), F.lit(0.3).alias("cos"))
+    return clustering.merge_clusters(members, pairs, most_rows=0).select(F.col("row_idx").alias("c_custkey"), "cluster", "ord")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fs = (
         deal_events, dedupe_repeated, url_canonical, url_domain, title_normalize, title_display, snippet_clean, accent_fold, word_counts, lookback_filter, dedupe_exact_url, dedupe_exact_title,
@@ -418,5 +466,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         detect_geography, extract_value, extract_companies, best_turn, ordered_roles, source_counts, top_three, latest_span, embedding_cosines, interval_pairs, text_pairs,
         evidence_rows, flat_events, sheet_cells, rejected_rows, table_search, counts_by_window,
         present_rows, json_sources, rss_sources, sample_dates, preferred_rows, shown_clusters, seed_groups, company_groups, event_records, brief_ranks, brief_appendix, brief_tables,
+        source_rows, run_counts, event_candidates, confidence_levels, gathered_articles, merged_groups,
     )
     return {f.__name__: f for f in fs}

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 from datetime import datetime
 from urllib.parse import urlsplit
 
@@ -151,3 +152,12 @@ def test_bound_of_the_ratio():
     text = lambda: " ".join(sorted({word() for _ in range(rng.randint(1, 6))}))
     x, y = pd.Series([text() for _ in range(3000)]), pd.Series([text() for _ in range(3000)])
     assert (ratio_bound(x, y) + 1e-9 >= [token_set_ratio(a, b) for a, b in zip(x, y, strict=True)]).all()
+
+
+def test_folding_is_that_of_decomposition(spark):
+    """Every character, alone and within a text, against NFKD."""
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["x".join(every[i : i + 5000]) for i in range(0, len(every), 5000)] + ["ﬁne ½ ㎏ [Ǆ] \\^-& ﬃ", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(4)
+    got = {r["i"]: r["f"] for r in rows.select("i", T.accent_fold("t").alias("f")).collect()}
+    assert all(got[i] == unicodedata.normalize("NFKD", t or "").encode("ascii", "ignore").decode() for i, t in enumerate(texts))
