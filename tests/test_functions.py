@@ -3,6 +3,7 @@ import unicodedata
 from datetime import datetime
 from urllib.parse import urlsplit
 
+import numpy as np
 import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.config import Config, search_query
 from ledgerline.functions import text as T
-from ledgerline.functions.similarity import class_cosines, cosine_pairs, fuzzy_pairs, ratio_bound, tfidf, token_set_ratio, vector_classes
+from ledgerline.functions.similarity import class_cosines, cosine_pairs, fuzzy_pairs, ratio_bound, ratio_bounds, shared_ratio, tfidf, token_set_ratio, vector_classes
 from ledgerline.operators.cleaning import timespan, with_when
 from ledgerline.operators.scoring import cluster_credibility, confidence, query_family, tier
 
@@ -151,7 +152,11 @@ def test_bound_of_the_ratio():
     word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))
     text = lambda: " ".join(sorted({word() for _ in range(rng.randint(1, 6))}))
     x, y = pd.Series([text() for _ in range(3000)]), pd.Series([text() for _ in range(3000)])
-    assert (ratio_bound(x, y) + 1e-9 >= [token_set_ratio(a, b) for a, b in zip(x, y, strict=True)]).all()
+    ratios = np.array([token_set_ratio(a, b) for a, b in zip(x, y, strict=True)])
+    shared = np.array([shared_ratio(a, b) for a, b in zip(x, y, strict=True)])
+    whole_bound, shared_bound = ratio_bounds(x, y)
+    assert (np.maximum(whole_bound, shared_bound) + 1e-9 >= ratios).all() and (ratio_bound(x, y) + 1e-9 >= ratios).all()
+    assert (shared <= ratios + 1e-9).all() and (shared_bound + 1e-9 >= shared).all() and (np.where(ratios > shared + 1e-9, whole_bound, 100) + 1e-9 >= ratios).all()
 
 
 def test_folding_is_that_of_decomposition(spark):
