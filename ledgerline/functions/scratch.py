@@ -25,4 +25,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table written once: lineage is cut, and losing an executor costs a reread."""
     path = f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders, wherever they lie, that nothing reads any more; those that aren't there are passed over."""
+    sc = spark.sparkContext
+    for name in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables whose readers are all written."""
+    for df in tables:
+        remove(df.sparkSession, df._scratch)

@@ -1 +1 @@
-"""Articles as a stream: cleaned and scored as they arrive, exact copies dropped, events rebuilt by micro-batch."""
+"""Articles as a stream: cleaned and scored as they arrive, exact copies dropped, events carried on from batch to batch."""

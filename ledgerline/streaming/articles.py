@@ -8,10 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Config
 from ..operators.cleaning import apply_cleaning, present
-from ..operators.clustering import candidates, cluster_deals
-from ..operators.dedupe import dedupe
 from ..operators.scoring import score_articles
 from ..schema import align
+from .state import advance
 
 
 def scored_stream(raw: DataFrame, config: Config | None = None, late: str = "14 days") -> DataFrame:
@@ -21,27 +20,20 @@ def scored_stream(raw: DataFrame, config: Config | None = None, late: str = "14
     return score_articles(once, config)
 
 
-def event_stream(raw: DataFrame, table: str, events: str, checkpoint: str, config: Config | None = None, days: int = 30) -> StreamingQuery:
-    """Add each micro-batch's articles to a table, and rebuild the events of its last `days` days.
+def event_stream(raw: DataFrame, table: str, state: str, events: str, checkpoint: str, config: Config | None = None, days: int = 30) -> StreamingQuery:
+    """Log each micro-batch's articles under `table`, and carry the events on; `event_history` reads them.
 
-    A batch overwrites its own folder, so one that is run again counts once. Fuzzy duplicates and events depend on the
-    order of articles and so can't be kept as state; the trailing window bounds what is read again.
+    A batch reads the state that the batch before left, and never the log. Duplicates and events depend on the order of
+    articles over all keys, so state kept by key can't hold them: it is kept as versions by batch (`state.advance`). A batch
+    overwrites its own folders, so one that is run again counts once.
     """
-    c = config or Config()
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
-        every = spark.read.option("basePath", table).parquet(table).drop("batch")
-        last = every.agg(F.max("published_at")).first()[0]
-        if last is None:
-            return
-        window = every.where(F.col("published_at") >= F.lit(last) - F.make_dt_interval(F.lit(days)))
-        scored = score_articles(dedupe(window, c), c)
-        _, records = cluster_deals(candidates(scored, c.min_relevance, c.min_credibility), c)
-        records.write.mode("overwrite").parquet(events)
-
-    return scored_stream(raw, c).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        log = f"{table}/batch={number}"
+        batch.write.mode("overwrite").parquet(log)
+        advance(batch.sparkSession.read.schema(batch.schema).parquet(log), number, state, events, config, days)
+
+    return scored_stream(raw, config).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(raw: DataFrame, at: str = "published_at", late: str = "1 hour", size: str = "1 day") -> DataFrame:

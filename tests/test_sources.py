@@ -132,13 +132,14 @@ def test_stream(spark, tmp_path):
 
     from ledgerline.schema import RAW
     from ledgerline.streaming.articles import event_stream
+    from ledgerline.streaming.state import event_history
 
     rows = P.load_sample(spark, write_csv(tmp_path / "s.csv"), now)
     from pyspark.sql import functions as F
 
     rows.withColumn("url", F.concat(F.lit("https://e.com/"), F.col("row_idx") % 10)).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(RAW).parquet(str(tmp_path / "in"))
-    q = event_stream(stream, str(tmp_path / "table"), str(tmp_path / "events"), str(tmp_path / "ck"))
+    q = event_stream(stream, *(str(tmp_path / x) for x in ("table", "state", "events", "ck")))
     q.awaitTermination(300)
     assert q.exception() is None
-    assert spark.read.parquet(str(tmp_path / "table")).count() == 10 and spark.read.parquet(str(tmp_path / "events")).count() >= 2
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 10 and event_history(spark, str(tmp_path / "events")).count() >= 2
