@@ -55,12 +55,18 @@ def canonical_url(url: Column | str) -> Column:
     return F.when(u == "", F.lit("")).otherwise(F.concat(front, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
+def host(url: Column | str) -> Column:
+    """The lower-case host of an address with or without a scheme; empty without any."""
+    return F.regexp_extract(F.lower(F.trim(_text(url))), r"^(?:[^:/?#]+://|//)?(?:[^/?#@]*@)?([^/?#:]*)", 1)
+
+
 def registered_domain(url: Column | str) -> Column:
-    """The name under the public suffix, for suffixes of one label and the second levels listed in the configuration."""
-    host = F.regexp_extract(F.lower(F.trim(_text(url))), r"^(?:[^:/?#]+://|//)?(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    """The name under the public suffix, for suffixes of one label and the second levels listed in the configuration;
+    `suffixes.suffix_domain` takes a whole table."""
+    own = host(url)
     double = "|".join(f"{k}\\.(?:{'|'.join(v.split())})" for k, v in SECOND_LEVELS.items())
-    found = F.regexp_extract(host, rf"([^.]+\.(?:{double}|[^.]+))\.?$", 1)
-    return F.when(host.rlike(r"^[\d.]+$"), host).when(found != "", found).otherwise(host)
+    found = F.regexp_extract(own, rf"([^.]+\.(?:{double}|[^.]+))\.?$", 1)
+    return F.when(own.rlike(r"^[\d.]+$"), own).when(found != "", found).otherwise(own)
 
 
 def normalized_title(title: Column | str) -> Column:

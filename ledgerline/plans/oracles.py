@@ -6,7 +6,7 @@ import re
 
 from ..config import ACRONYMS, PLACES, SECOND_LEVELS, TIERS, TITLE_NOISE, TRACKING_KEYS, WATCHLIST
 from ..functions.text import fold
-from .queries import DEAL_TYPES, DEMO
+from .queries import DEAL_TYPES, DEMO, SUFFIXES
 
 
 def _q(text: str) -> str:
@@ -171,6 +171,27 @@ _BRIEF = """r as (select c_custkey n, c_mktsegment, printf('C%06d', c_custkey) c
  ranked as (select *, row_number() over (order by case confidence when 'High' then 0 when 'Medium' then 1 else 2 end, n % 11 desc, n % 7 desc, latest desc nulls last, cluster_id) brief_rank from r)"""
 
 
+def _suffix_domains() -> str:
+    """Each rule as a pattern; the longest that fits, or the exception."""
+    host = _HOST.replace("url", "u")
+    kinds = {"url": "url", "deep": "'http://a.p' || page_id || '.co.uk/x'", "any": "'b.c.z' || page_id || '.test'", "first": "'x.first.test'"}
+    rows = " union all ".join(f"select page_id, '{k}' k, {v} u from pages" for k, v in kinds.items())
+    return rf"""with rules as (select starts_with(rule, '!') ex, len(string_split(rule, '.')) n, '(^|\.)' || replace(replace(ltrim(rule, '!'), '.', '\.'), '*', '[^.]+') || '$' pattern from (select unnest([{", ".join(map(_q, SUFFIXES))}]) rule)),
+      hosts as (select page_id, k, {host} h from ({rows})),
+      met as (select page_id, k, h, coalesce(max(n - 1) filter (where ex), greatest(1, max(n) filter (where not ex))) s from hosts left join rules on regexp_matches(h, pattern) group by all),
+      named as (select page_id, k, array_to_string(list_slice(string_split(h, '.'), greatest(1, len(string_split(h, '.')) - coalesce(s, 1)), len(string_split(h, '.'))), '.') d from met)
+      select page_id, {", ".join(f"max(d) filter (where k = '{k}') as {_k(k)}" for k in kinds)} from named group by page_id"""
+
+
+def _k(name: str) -> str:
+    return f'"{name}"'
+
+
+_KEPT_UP = r"""with kept as (select row_number() over () i, text from documents where source is distinct from 'src3'),
+  tok as (select distinct i, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_][\p{L}\p{N}\p{M}_]+')) term from kept)
+  select term, count(*) df, round(ln((1 + (select count(*) from kept)) / (1 + count(*))) + 1, 6) idf from tok group by term"""
+
+
 def _text_pairs() -> str:
     stops = _list(sorted(DEMO.stop_words))
     return rf"""with tok as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}_][\p{{L}}\p{{N}}\p{{M}}_]+')) t from documents),
@@ -229,6 +250,8 @@ def oracle_sql() -> dict[str, str]:
         "embedding_cosines": _PAIRS,
         "interval_pairs": "select a.event_id i, b.event_id j from events a join events b on a.user_id = b.user_id and a.event_id < b.event_id and abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 600000000",
         "text_pairs": _text_pairs(),
+        "url_suffix_domain": _suffix_domains(),
+        "kept_up_frequencies": _KEPT_UP,
         "evidence_rows": f"with {_EVENTS} select cluster_id, canonical_headline, s.title, s.url, s.source_name from (select cluster_id, canonical_headline, unnest(sources) s from ev)",
         "flat_events": f"with {_EVENTS} select cluster_id, canonical_headline, case when named then 'A, B' else 'Not clearly identified' end companies, array_to_string(list_transform(sources, lambda s: s.title), '; ') source_titles from ev",
         "sheet_cells": "select cast(doc_id as varchar) doc_id, '[\"' || lang || '\",\"' || source || '\"]' tags, case when doc_id % 2 = 0 then lang else '' end maybe, '' absent from documents",

@@ -33,7 +33,7 @@ class Run:
 
 def process(raw: DataFrame, config: Config | None = None) -> DataFrame:
     """Clean, flag duplicates, score: every row stays. Written once, as clustering and sinks both read it."""
-    clean = written(apply_cleaning(numbered(align(raw))), "clean")
+    clean = written(apply_cleaning(numbered(align(raw)), (config or Config()).suffixes), "clean")
     return written(score_articles(dedupe(clean, config), config), "processed")
 
 

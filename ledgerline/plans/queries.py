@@ -6,6 +6,7 @@ words of the texts. The operators are the same.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as T
+from ..functions.scratch import scratch_dir
 from ..functions.similarity import cosine_pairs, fuzzy_pairs, tfidf
+from ..functions.suffixes import suffix_domain
 from ..operators import clustering, dedupe, scoring
 from ..operators.brief import appendix, brief_order, confidence_mix, top_categories
 from ..operators.cleaning import apply_cleaning, in_timespan, present
@@ -23,6 +26,7 @@ from ..schema import align, numbered
 from ..sources.parsers import PARSERS, enabled, fan_in, sample_rows
 from ..sources.sinks import brief_rows, cells, clusters_flat, evidence, rejected_or_duplicate, search
 from ..streaming.articles import windowed_counts
+from ..streaming.frequencies import commit, compact, fitted
 from .pipeline import counts_by_source, status_counts, visible, with_cluster_ids
 
 #: Word lists and weights for the driver's texts.
@@ -80,6 +84,31 @@ def url_domain(spark, sf):
     return _read(spark, sf, "pages").select("page_id", T.registered_domain("url").alias("domain"))
 
 
+#: A small table of suffixes with each kind of rule, for the pages' hosts.
+SUFFIXES = ("com", "org", "net", "io", "example", "*.example", "!www.example", "co.uk", "*.test", "!first.test", "example.com", "example.org")
+
+
+def url_suffix_domain(spark, sf):
+    """The pages' hosts, and hosts that each kind of rule is about, under a table of suffixes."""
+    of = suffix_domain(spark, SUFFIXES)
+    page = F.col("page_id").cast("string")
+    kinds = {"url": F.col("url"), "deep": F.concat(F.lit("http://a.p"), page, F.lit(".co.uk/x")), "any": F.concat(F.lit("b.c.z"), page, F.lit(".test")), "first": F.lit("x.first.test")}
+    return _read(spark, sf, "pages").select("page_id", *(of(c).alias(k) for k, c in kinds.items()))
+
+
+def kept_up_frequencies(spark, sf):
+    """Document frequencies after signed batches: documents arrive by language, latest first, and those of one source go again."""
+    docs, folder = _read(spark, sf, "documents"), f"{scratch_dir(spark)}/frequencies-{uuid.uuid4().hex}"
+    arrive = docs.select("text", F.lit(1).alias("sign"), "lang")
+    langs = [r[0] for r in docs.select("lang").distinct().orderBy(F.desc("lang")).collect()]
+    for n, lang in enumerate(langs):
+        commit(arrive.where(F.col("lang").eqNullSafe(lang)), folder, len(langs) - n)
+    compact(spark, folder, len(langs))
+    commit(docs.where("source = 'src3'").select("text", F.lit(-1).alias("sign")), folder, len(langs) + 1)
+    found, n = fitted(spark, folder)
+    return found.crossJoin(F.broadcast(n)).select("term", "df", F.round(F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1, 6).alias("idf"))  # n is one row
+
+
 def title_normalize(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", T.normalized_title(F.substring_index("text", "\n", 1)).alias("normalized_title"))
 
@@ -467,5 +496,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         evidence_rows, flat_events, sheet_cells, rejected_rows, table_search, counts_by_window,
         present_rows, json_sources, rss_sources, sample_dates, preferred_rows, shown_clusters, seed_groups, company_groups, event_records, brief_ranks, brief_appendix, brief_tables,
         source_rows, run_counts, event_candidates, confidence_levels, gathered_articles, merged_groups,
+        url_suffix_domain, kept_up_frequencies,
     )
     return {f.__name__: f for f in fs}

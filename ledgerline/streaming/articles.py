@@ -15,7 +15,7 @@ from .state import advance
 
 def scored_stream(raw: DataFrame, config: Config | None = None, late: str = "14 days") -> DataFrame:
     """Clean and score a stream; of articles with one address within `late` of each other the first to arrive stays."""
-    clean = apply_cleaning(align(present(raw)))
+    clean = apply_cleaning(align(present(raw)), (config or Config()).suffixes)
     once = clean.withWatermark("published_at", late).dropDuplicatesWithinWatermark(["canonical_url"])
     return score_articles(once, config)
 

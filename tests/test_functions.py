@@ -166,3 +166,20 @@ def test_folding_is_that_of_decomposition(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(4)
     got = {r["i"]: r["f"] for r in rows.select("i", T.accent_fold("t").alias("f")).collect()}
     assert all(got[i] == unicodedata.normalize("NFKD", t or "").encode("ascii", "ignore").decode() for i, t in enumerate(texts))
+
+
+def test_public_suffixes(spark, tmp_path):
+    from ledgerline.functions.suffixes import read_rules, suffix_domain
+    from ledgerline.operators.cleaning import apply_cleaning
+    from ledgerline.schema import align
+
+    (tmp_path / "rules.dat").write_text("// kinds of rules\ncom\nuk\nco.uk  a remark\n*.ck\n!www.ck\n\nшоп.ex\njp\n*.kawasaki.jp\n!city.kawasaki.jp\nb.c.kawasaki.jp\n")
+    rules = read_rules(spark, str(tmp_path / "rules.dat"))
+    expected = {
+        "http://a.b.site.co.uk/x": "site.co.uk", "co.uk": "co.uk", "www.site.com.": "site.com", "x.y.ck": "x.y.ck", "w.x.y.ck": "x.y.ck", "a.www.ck": "www.ck", "x.unknown": "x.unknown",
+        "a.x.unknown": "x.unknown", "a.xn--n1acz.ex": "a.xn--n1acz.ex", "b.a.шоп.ex": "a.шоп.ex", "a.city.kawasaki.jp": "city.kawasaki.jp", "z.a.b.kawasaki.jp": "a.b.kawasaki.jp",
+        "z.a.b.c.kawasaki.jp": "a.b.c.kawasaki.jp", "10.1.2.3": "10.1.2.3", "": "", "ck": "ck", "a..com": ".com", None: "", "x" * 70 + ".é.com": "é.com",
+    }
+    assert dict(zip(expected, _one(spark, list(expected), suffix_domain(spark, rules)), strict=True)) == expected
+    rows = align(spark.createDataFrame([("https://news.site.co.uk/1", "t")], "url string, title string"))
+    assert apply_cleaning(rows, str(tmp_path / "rules.dat")).first()["domain"] == "site.co.uk"
