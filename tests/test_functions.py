@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.config import Config, search_query
 from ledgerline.functions import text as T
-from ledgerline.functions.similarity import class_cosines, cosine_pairs, fuzzy_pairs, ratio_bound, ratio_bounds, shared_ratio, tfidf, token_set_ratio, vector_classes
+from ledgerline.functions.similarity import both_ways, class_cosines, cosine_pairs, fuzzy_pairs, ratio_bound, ratio_bounds, shared_ratio, tfidf, token_set_ratio, vector_classes
 from ledgerline.operators.cleaning import timespan, with_when
 from ledgerline.operators.scoring import cluster_credibility, confidence, query_family, tier
 
@@ -183,3 +183,23 @@ def test_public_suffixes(spark, tmp_path):
     assert dict(zip(expected, _one(spark, list(expected), suffix_domain(spark, rules)), strict=True)) == expected
     rows = align(spark.createDataFrame([("https://news.site.co.uk/1", "t")], "url string, title string"))
     assert apply_cleaning(rows, str(tmp_path / "rules.dat")).first()["domain"] == "site.co.uk"
+
+
+def test_pairs_in_either_order(spark):
+    """Each pair comes in both orders, repeated ones as often as they are there; none without pairs; its pairs are worked out once."""
+    df = spark.createDataFrame([("p", "q", 1), ("p", "q", 2), ("r", None, 3)], "a string, b string, n int")
+    got = sorted(map(tuple, both_ways(df, "x", "y").collect()), key=str)
+    assert got == sorted([("p", "q"), ("q", "p")] * 2 + [("r", None), (None, "r")], key=str)
+    assert both_ways(df.limit(0), "x", "y").columns == ["x", "y"] and both_ways(df.limit(0), "x", "y").isEmpty()
+    plan = both_ways(df.distinct(), "x", "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
+
+
+def test_similar_titles_of_one_text_in_many_buckets(spark):
+    """Units of equal texts, of hashes that meet and of texts that no one shares, at either end of a bucket."""
+    titles = ["acme buys a mill in the north of town", "acme buys a mill in the north of towns", "nothing like it"] * 12
+    df = spark.createDataFrame([(i, t, datetime(2024, 1, 1 + 2 * (i // 3))) for i, t in enumerate(titles)], "row_idx long, normalized_title string, published_at timestamp")
+    near = lambda i, j: abs(i // 3 - j // 3) * 2 <= 14
+    want = {(i, j) for i in range(36) for j in range(i + 1, 36) if near(i, j) and token_set_ratio(titles[i], titles[j]) >= 90}
+    got = [(r["i"], r["j"]) for r in fuzzy_pairs(df, 90.0, 14).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
