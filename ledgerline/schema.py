@@ -28,18 +28,25 @@ def empty_articles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], RAW)
 
 
+def _nth(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """rows with a number for each row among those of one `by`, from 0."""
+    counts = rows.groupBy(by, "_part").agg(F.count("*").alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy(by).orderBy("_part"))  # as many rows as parts
+    before = counts.select(by, "_part", (total - F.col("_n")).alias("_before"))
+    order = ("query", "retrieved_at", "snippet", "published_at", "source_name", "domain", "is_sample")
+    place = F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order)) - 1
+    return rows.withColumn("_place", place).join(before, [by, "_part"]).withColumn(name, F.col("_place") + F.col("_before")).drop("_place", "_before")
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """Aligned rows with ids of their own. One article that two queries return has equal digests: all but one of these
-    rows get a number. Rows are counted by the part they were written in, so an article that a third of all rows repeat
-    is numbered by many tasks."""
+    rows get a number. Rows of one title and address at two times share an article_id but no row_idx, so each is numbered
+    by itself. Rows are counted by the part they were written in, so an article that a third of all rows repeat is numbered
+    by many tasks."""
     rows = written(df.withColumn("_part", F.spark_partition_id()), "raw")
-    counts = rows.groupBy("row_idx", "_part").agg(F.count("*").alias("_n"))
-    total = F.sum("_n").over(Window.partitionBy("row_idx").orderBy("_part"))  # as many rows as parts
-    before = counts.select("row_idx", "_part", (total - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("row_idx", "_part").orderBy("query", "retrieved_at", "snippet")) - 1
-    out = rows.withColumn("_place", place).join(before, ["row_idx", "_part"]).withColumn("_nth", F.col("_place") + F.col("_before"))
+    out = _nth(_nth(rows, "row_idx", "_nth"), "article_id", "_nth_id")
     new = {
-        "article_id": F.when(F.col("_nth") == 0, F.col("article_id")).otherwise(F.concat_ws("-", "article_id", "_nth")),
+        "article_id": F.when(F.col("_nth_id") == 0, F.col("article_id")).otherwise(F.concat_ws("-", "article_id", "_nth_id")),
         "row_idx": F.when(F.col("_nth") == 0, F.col("row_idx")).otherwise(F.xxhash64("row_idx", "_nth")),
     }
     return out.select(*(new.get(c, F.col(c)).alias(c) for c in df.columns))
