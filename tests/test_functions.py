@@ -134,6 +134,32 @@ def test_classes_of_near_copies(spark):
     assert got == want and len(reps) < 350 and len(got) >= 6
 
 
+def test_vectors_meet_within_their_blocks(spark):
+    """What two heads share is no row of a join: the pairs come from one scan. Slices and chunks of any size find the same."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", "ff", "gg", "hh"]) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    vectors = tfidf(spark.createDataFrame(list(enumerate(texts)), "row_idx long, text string"), frozenset())
+    classes = vector_classes(vectors)
+    pairs = class_cosines(vectors, classes, 0.7)
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    from ledgerline.functions import similarity
+
+    own = {}
+    for r in vectors.join(classes.where("key = rep"), "key").collect():
+        own.setdefault(r["key"], {})[r["term"]] = r["w"]
+    want = {(a, b) for a in own for b in own if a < b and sum(w * own[b].get(t, 0) for t, w in own[a].items()) >= 0.7}
+    assert {(r["i"], r["j"]) for r in pairs.collect()} == want
+    code = {t: n for n, t in enumerate(sorted({t for v in own.values() for t in v}))}
+    one = {"key": np.array(list(own)), "end": np.full(len(own), 99), "tail": np.zeros(len(own), np.float32), "first": np.cumsum([0, *map(len, own.values())])}
+    flat = [(code[t], n, w) for n, v in enumerate(own.values()) for t, w in sorted(v.items())]
+    one |= {"code": np.array([x[0] for x in flat]), "v": np.array([x[2] for x in flat])}
+    flat.sort(key=lambda x: x[0])
+    one |= {"place": np.array([x[0] for x in flat]), "row": np.array([x[1] for x in flat], np.int32), "w": np.array([x[2] for x in flat], np.float32), "after": np.ones(len(flat), np.float32)}
+    for cells in (1, 7, 300, 1 << 20):
+        i, j, _ = similarity._alike(one, one, True, 0.7, cells)
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
 def test_fuzzy_pairs_lose_no_match(spark):
     """At any ratio, the pairs are those of all pairs; titles of few letters, of one long word, and of shared words."""
     rng = random.Random(2)
