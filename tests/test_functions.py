@@ -229,3 +229,21 @@ def test_similar_titles_of_one_text_in_many_buckets(spark):
     want = {(i, j) for i in range(36) for j in range(i + 1, 36) if near(i, j) and token_set_ratio(titles[i], titles[j]) >= 90}
     got = [(r["i"], r["j"]) for r in fuzzy_pairs(df, 90.0, 14).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_titles_meet_within_their_blocks(spark):
+    """Texts of two syllables share nearly all runs: no row of a join for them; tiles of any size find the same pairs."""
+    from ledgerline.functions import similarity
+
+    rng = random.Random(4)
+    texts = sorted({" ".join(sorted({"".join(rng.choice(["en", "er"]) for _ in range(rng.randint(2, 5))) for _ in range(rng.randint(1, 9))})) for _ in range(70)}, key=len)
+    one = {"unit": np.arange(len(texts)), "b": np.array([i % 3 for i in range(len(texts))]), "l": np.array([len(t) for t in texts]), "text": np.array(texts, object)}
+    whole = lambda i, j: token_set_ratio(texts[i], texts[j]) >= 90 and shared_ratio(texts[i], texts[j]) < 90
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if abs(i % 3 - j % 3) <= 1 and whole(i, j)}
+    for cells in (1, 200, 1 << 16):
+        x, y = similarity._whole_alike(one, one, True, 90.0, cells)
+        got = set(zip(x.tolist(), y.tolist(), strict=True))
+        assert want <= got and all(token_set_ratio(texts[i], texts[j]) >= 90 for i, j in got)
+    rows = spark.createDataFrame([(i, t, datetime(2024, 1, 1)) for i, t in enumerate(texts)], "row_idx long, normalized_title string, published_at timestamp")
+    every = {(i, j) for j in range(len(texts)) for i in range(j) if token_set_ratio(texts[i], texts[j]) >= 90}
+    assert {(r["i"], r["j"]) for r in fuzzy_pairs(rows, 90.0, 14).collect()} == every
