@@ -39,10 +39,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file://" + os.environ["LEDGERLINE_SCRATCH"]
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table of the shared folder and read it back: lineage is cut, and a lost executor costs a reread."""
+def materialise(df: DataFrame, tag: str, row_group: int | None = None) -> DataFrame:
+    """Write df as a table of the shared folder and read it back: lineage is cut, and a lost executor costs a reread.
+    row_group: the bytes of its row groups, for rows of long lists."""
     path = f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    # sizes are looked at after every tenth row instead of every hundredth
+    (writer.option("parquet.block.size", row_group).option("parquet.page.size.row.check.min", 10) if row_group else writer).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

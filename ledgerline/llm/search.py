@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 
+#: Bytes of a row group of the index, which bound what a task holds while it writes or reads.
+ROW_GROUP = 4 << 20
+
+
 @dataclass(frozen=True)
 class Settings:
     block: int = 32  # documents of a block
@@ -95,7 +99,8 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Settings
 
     kind = docs.schema[key].dataType.simpleString()
     lists = "sizes array<int>, terms array<long>, most array<int>, df array<int>, term array<int>, impact array<int>"
-    return Index(C.materialise(rows.mapInArrow(run, f"block long, keys array<{kind}>, {lists}"), "blocks"), n, total)
+    # a reader's batch ends with its row group: some thousand blocks of one would be held at once
+    return Index(C.materialise(rows.mapInArrow(run, f"block long, keys array<{kind}>, {lists}"), "blocks", ROW_GROUP), n, total)
 
 
 class Queries:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm import decontaminate, embeddings, minhash, substrings, toxicity
+from ledgerline.llm import decontaminate, embeddings, minhash, search, substrings, toxicity
 from ledgerline.llm import _common as C
 
 from .conftest import words
@@ -284,3 +284,15 @@ def test_languages():
     texts = [b"the cat and the dog of it", "der Hund und die Katze für".encode(), b"les chats et des chiens pour", b"los gatos y el perro con una", b"xyz"]
     _, _, h, first = C.hash_words(texts, C.NOT_ALNUM)
     assert list(toxicity.languages(h, first)) == ["en", "de", "fr", "es", ""]
+
+
+def test_index_has_small_row_groups(spark):
+    """A reader's batch ends with its row group, so however many blocks a task writes, few are read at once."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    texts = F.transform(F.sequence(F.lit(1), F.lit(120)), lambda i: F.md5(F.concat_ws(" ", "id", i)))
+    index = search.build(spark.range(0, 6400, 1, 1).select(F.col("id").alias("doc_id"), F.array_join(texts, " ").alias("text")))
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(index.rows._scratch.removeprefix("file://") + "/*.parquet")]
+    assert sum(m.num_rows for m in files) >= 200 and max(m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)) <= 100
