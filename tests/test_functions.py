@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.config import Config, search_query
 from ledgerline.functions import text as T
-from ledgerline.functions.similarity import both_ways, class_cosines, cosine_pairs, fuzzy_pairs, ratio_bound, ratio_bounds, shared_ratio, tfidf, token_set_ratio, vector_classes
+from ledgerline.functions.similarity import both_ways, class_cosines, cosine_pairs, fuzzy_pairs, label_cosines, ratio_bound, ratio_bounds, shared_ratio, tfidf, token_set_ratio, vector_classes
 from ledgerline.operators.cleaning import timespan, with_when
 from ledgerline.operators.scoring import cluster_credibility, confidence, query_family, tier
 
@@ -247,3 +247,11 @@ def test_titles_meet_within_their_blocks(spark):
     rows = spark.createDataFrame([(i, t, datetime(2024, 1, 1)) for i, t in enumerate(texts)], "row_idx long, normalized_title string, published_at timestamp")
     every = {(i, j) for j in range(len(texts)) for i in range(j) if token_set_ratio(texts[i], texts[j]) >= 90}
     assert {(r["i"], r["j"]) for r in fuzzy_pairs(rows, 90.0, 14).collect()} == every
+
+
+def test_vectors_of_a_label_meet_without_a_join(spark):
+    """Zero and null vectors and a null label meet nothing; a missing component counts as 0; no component is a row."""
+    vectors = [(0, 1, [1.0, 0.0]), (1, 1, [1.0, 1.0]), (2, 1, [0.0, 1.0]), (3, 2, [1.0, 0.0]), (4, 1, [0.0, 0.0]), (5, 1, None), (6, None, [1.0, 0.0]), (7, 1, [2.0, None])]
+    got = label_cosines(spark.createDataFrame(vectors, "vec_id long, label int, embedding array<double>"), 0.3)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r["i"], r["j"]): round(r["cos"], 6) for r in got.collect()} == {(0, 1): 0.707107, (1, 2): 0.707107, (0, 7): 1.0, (1, 7): 0.707107}
