@@ -280,6 +280,34 @@ def test_a_labelled_text_beyond_the_bytes_is_passed_over(make_docs):
     assert models[0].thresholds == models[1].thresholds == models[2].thresholds
 
 
+def test_toxicity_learns_from_every_labelled_text(spark, make_docs):
+    """Toxic words that 75 of 9000 toxic texts have each: 2000 texts of a label would show each in 17."""
+    rng = random.Random(10)
+    rows = [(i, " ".join([*words(rng, 12), *(["moron"] if i % 2 else [])])) for i in range(12_000)]
+    rows += [(20_000 + i, " ".join([*words(rng, 12), f"late{i % 40}vequa"])) for i in range(4_000)]
+    labels = spark.createDataFrame([(i, int(i >= 20_000 or i % 2)) for i, _ in rows if i < 23_000], "doc_id long, toxic int")
+    docs = make_docs(rows)
+    model = toxicity.fit(docs, labels, settings=toxicity.Settings(part_bytes=200_000, epochs=4))
+    assert sum(b in set(model.buckets) for b in {int(toxicity.features([f"late{i}vequa".encode()], model.settings.buckets)[0][0, 0]) for i in range(40)}) == 40
+    out = toxicity.score(docs.where("doc_id >= 23000 or doc_id < 500"), model).toPandas()
+    assert (out["toxic"] == ((out["key"] >= 20_000) | (out["key"] % 2 == 1))).mean() > 0.95
+
+
+def test_thresholds_by_ranges(spark):
+    rng = np.random.default_rng(3)
+    z, y, g = rng.normal(0, 1, 3000).round(2), rng.integers(0, 2, 3000), rng.choice(["", "en", "de"], 3000)
+    z += y
+    got = toxicity.thresholds(spark.createDataFrame([(a, float(b), int(c)) for a, b, c in zip(g.tolist(), z, y)], "language string, z double, label int"))
+
+    def best(z, y):
+        at = sorted(set(z), reverse=True)
+        f1 = [2 * y[z >= a].sum() / ((z >= a).sum() + y.sum()) for a in at]
+        i = int(np.argmax(f1))
+        return (at[i] + at[i + 1]) / 2
+
+    assert got == {"": best(z, y)} | {x: best(z[g == x], y[g == x]) for x in ("en", "de")}
+
+
 def test_languages():
     texts = [b"the cat and the dog of it", "der Hund und die Katze für".encode(), b"les chats et des chiens pour", b"los gatos y el perro con una", b"xyz"]
     _, _, h, first = C.hash_words(texts, C.NOT_ALNUM)
