@@ -1,4 +1,5 @@
 import random
+import re
 import unicodedata
 from datetime import datetime
 from urllib.parse import urlsplit
@@ -255,3 +256,19 @@ def test_vectors_of_a_label_meet_without_a_join(spark):
     got = label_cosines(spark.createDataFrame(vectors, "vec_id long, label int, embedding array<double>"), 0.3)
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert {(r["i"], r["j"]): round(r["cos"], 6) for r in got.collect()} == {(0, 1): 0.707107, (1, 2): 0.707107, (0, 7): 1.0, (1, 7): 0.707107}
+
+
+def test_characters_that_stand_for_several_are_met_as_ranges(spark):
+    """One alternative for each of them costs every character of a text as many questions."""
+    assert T._ANY_MORE.count("-") < 60
+    more = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), T._ANY_MORE))
+    assert all(more.fullmatch(c) for c in T._MORE) and not any(more.search(c) for c in (*T._ONE, *map(chr, range(128))))
+    mixed = "".join(T._MORE) + "é" + "".join(T._ONE) + "日x"
+    assert _one(spark, [mixed], T.accent_fold) == [T.fold(mixed)]
+
+
+def test_names_of_companies_are_worked_out_once(spark, capsys):
+    df = spark.range(1).select(T.companies(F.lit("Unilever Buys Nestlé")))
+    df.explain(True)
+    assert capsys.readouterr().out.split("== Analyzed")[0].count("regexp_extract_all") == 4  # known names, phrases, and folding of the text and of keys
+    assert df.first()[0][0] == "Unilever"
