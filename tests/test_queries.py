@@ -115,3 +115,11 @@ def test_entry_imports_without_the_corpus_operators(monkeypatch):
 
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     assert set(entry.queries()) == set(queries()) and set(entry.oracle_sql()) <= set(queries())
+
+
+def test_rejected_rows_are_scored_once(spark, capsys):
+    """The condition reads what was scored and doesn't look for the terms again."""
+    from ledgerline.plans.queries import rejected_rows
+
+    rejected_rows(spark, "/root/testdata/sf0.001").explain(True)
+    assert "RLIKE" not in capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].upper()
