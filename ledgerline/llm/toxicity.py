@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,8 @@ class Settings:
     decay: float = 1e-3
     seed: int = 7
     sample_bytes: int = 16_000_000  # a single text beyond it isn't fitted on
-    part_bytes: int = 8_000_000  # of the texts that one task fits on, about
+    part_bytes: int = 8_000_000  # of the texts that are fitted on one after the other, about
+    together: int = 4  # parts of one file, whose outcomes are summed before they are shuffled; up to 8 parts lie in files of their own
     steps: int = 500  # of 32 texts in every part, after which further epochs (three at least) are left out
 
 
@@ -256,51 +258,69 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byte
 _CHUNK = 256
 
 
-def _round(words: DataFrame, t: Training, epoch: int) -> None:
-    """Every part is passed over once, each from the same model; then parameters become the mean of what the parts made of
-    them. A row of the embedding is averaged over the parts that touched it, by chunks of rows on the executors."""
+def _moves(words: DataFrame, t: Training, epoch: int, files: int) -> DataFrame:
+    """(chunk, file, at, n, moved): what one pass over each part, all from the same model, does to the parameters.
+
+    Summed over the parts of a file, so what is shuffled grows with the files; n: how many of the parts touched each row. Which
+    parts a file has depends on their number only, so sums don't depend on how files are dealt to tasks.
+    """
     shared = words.sparkSession.sparkContext.broadcast(t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old = shared.value
         s = old.m.settings
-        for part, texts, labels in _by_part(batches):
-            own = old.copy()
-            rows = [np.frombuffer(x, np.int32).reshape(-1, 1 + len(PREFIXES)) for x in texts]
-            at = np.flatnonzero(pass_over(own, rows, labels, np.random.default_rng([s.seed, epoch, part])))
-            moved = np.concatenate([own.m.embedding[at] - old.m.embedding[at], own.gain[0][at] - old.gain[0][at]], 1)
+        for file, parts in groupby(_by_part(batches), lambda x: x[0] % files):
+            total, n = np.zeros((len(old.m.embedding), 2 * s.size), np.float32), np.zeros(len(old.m.embedding), np.int32)
+            dense, passed = 0.0, 0
+            for part, texts, labels in parts:
+                own = old.copy()
+                rows = [np.frombuffer(x, np.int32).reshape(-1, 1 + len(PREFIXES)) for x in texts]
+                at = np.flatnonzero(pass_over(own, rows, labels, np.random.default_rng([s.seed, epoch, part])))
+                total[at] += np.concatenate([own.m.embedding[at] - old.m.embedding[at], own.gain[0][at] - old.gain[0][at]], 1)
+                n[at] += 1
+                dense, passed = dense + own.dense(), passed + 1
+            at = np.flatnonzero(n)
             cut = np.flatnonzero(np.diff(at // _CHUNK, prepend=-1))
-            chunks = [(int(a[0]) // _CHUNK, a.astype(np.int32).tobytes(), x.tobytes()) for a, x in zip(np.split(at, cut[1:]), np.split(moved, cut[1:]), strict=True) if len(a)]
-            chunks.append((-1, b"", own.dense().tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in ([x[0] for x in chunks], [part] * len(chunks), [x[1] for x in chunks], [x[2] for x in chunks])], names=["chunk", "part", "at", "moved"])
+            chunks = [(int(a[0]) // _CHUNK, a.astype(np.int32).tobytes(), n[a].tobytes(), total[a].tobytes()) for a in np.split(at, cut[1:]) if len(a)]
+            chunks.append((-1, b"", np.array([passed], np.int32).tobytes(), dense.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in ([x[0] for x in chunks], [file] * len(chunks), *([x[i] for x in chunks] for i in (1, 2, 3)))], names=["chunk", "file", "at", "n", "moved"])
+
+    out = words.mapInArrow(run, "chunk long, file long, at binary, n binary, moved binary")
+    out._shared = shared
+    return out
+
 
+def _round(words: DataFrame, t: Training, epoch: int, files: int) -> None:
+    """Every part is passed over once; then parameters become the mean of what the parts made of them. A row of the embedding
+    is averaged over the parts that touched it, by chunks of rows on the executors."""
     size = 2 * t.m.settings.size
 
     def mean(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for chunk, g in pdf.groupby("chunk", sort=False):
             if chunk < 0:
-                out.append((chunk, b"", np.mean([np.frombuffer(x) for x in g["moved"]], 0).tobytes()))
+                dense = np.sum([np.frombuffer(x) for x in g["moved"]], 0) / sum(int(np.frombuffer(x, np.int32)[0]) for x in g["n"])
+                out.append((chunk, b"", dense.tobytes()))
                 continue
             total, n = np.zeros((_CHUNK, size)), np.zeros(_CHUNK)
-            for at, x in zip(g["at"], g["moved"], strict=True):
+            for at, k, x in zip(g["at"], g["n"], g["moved"], strict=True):
                 i = np.frombuffer(at, np.int32) - chunk * _CHUNK
                 total[i] += np.frombuffer(x, np.float32).reshape(-1, size)
-                n[i] += 1
+                n[i] += np.frombuffer(k, np.int32)
             i = np.flatnonzero(n)
             out.append((chunk, (i + chunk * _CHUNK).astype(np.int32).tobytes(), (total[i] / n[i, None]).astype(np.float32).tobytes()))
         return pd.DataFrame(out, columns=["chunk", "at", "moved"])
 
-    parts = words.mapInArrow(run, "chunk long, part long, at binary, moved binary")
+    moves = _moves(words, t, epoch, files)
     # the model comes to the driver once a round; its size is bounded by Settings.share
-    for r in C.by_groups(parts, ["chunk"], ["part"], mean, "chunk long, at binary, moved binary", rows=64).collect():
+    for r in C.by_groups(moves, ["chunk"], ["file"], mean, "chunk long, at binary, moved binary", rows=64).collect():
         if r["chunk"] < 0:
             t.set_dense(np.frombuffer(r["moved"]))
             continue
         at, moved = np.frombuffer(r["at"], np.int32), np.frombuffer(r["moved"], np.float32).reshape(-1, size)
         t.m.embedding[at] += moved[:, : size // 2]
         t.gain[0][at] += moved[:, size // 2 :]
-    shared.destroy()
+    moves._shared.destroy()
 
 
 def _kept(sample: DataFrame, n: tuple[int, int], s: Settings) -> np.ndarray:
@@ -333,7 +353,7 @@ def _words(sample: DataFrame, m: Model) -> DataFrame:
                 rows = pa.array([table[features([x], s.buckets)[0]].tobytes() for x in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), rows], names=["part", "label", "words"])
 
-    # files keep whole parts in one row group, as above
+    # files keep whole parts in one row group, one after the other, as above
     return C.materialise(sample.where("not held").select("part", "label", "text").mapInArrow(run, "part long, label int, words binary"), "toxic-words", 1 << 30)
 
 
@@ -391,7 +411,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     A key's label is its largest one and its text its smallest one, so repeated rows count once; null labels and keys that
     docs lack don't count, nor does a single text of more than `sample_bytes`. Texts are dealt by their keys' hashes into
-    parts of about `part_bytes`, which tasks fit on side by side, epoch by epoch (`_round`). The texts of a fifth of the
+    parts of about `part_bytes`, and those into files that tasks fit on side by side, epoch by epoch (`_round`). The texts of a fifth of the
     keys aren't fitted on but set the thresholds. Without labelled texts of both labels, no text is toxic.
     """
     s = settings or Settings()
@@ -403,10 +423,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     size = F.octet_length("text")
     total = rows.agg(F.sum(F.when(size <= s.sample_bytes, size))).first()[0] or 0
     parts = 1 + total // s.part_bytes
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts))).repartition(parts, "part")
-    dealt = dealt.groupBy("part", "h", "key", "label").agg(F.min("text").alias("text")).where(size <= s.sample_bytes)
+    files = max(min(parts, 8), -(-parts // s.together))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts))).withColumn("file", (F.col("part") % files).cast("int"))
+    dealt = dealt.repartitionById(files, "file").groupBy("file", "part", "h", "key", "label").agg(F.min("text").alias("text")).where(size <= s.sample_bytes)
     held = F.pmod(F.shiftright(F.xxhash64("h", F.lit(1)), 8), F.lit(5)) == 0
-    # a part's rows are in one file and one row group, so a task has them all
+    # a file's rows are in one row group, so a task has all of its parts
     sample = C.materialise(dealt.select("part", "h", "label", held.alias("held"), "text").sortWithinPartitions("part", "h", "label"), "toxic-texts", 1 << 30)
     n = {r["label"]: r["n"] for r in sample.where("not held").groupBy("label").agg(F.count("*").alias("n")).collect()}
     n = n.get(0, 0), n.get(1, 0)
@@ -414,7 +435,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if all(n):
         words, each = _words(sample, t.m), -(-sum(n) // (32 * parts))
         for epoch in range(min(s.epochs, max(3, -(-s.steps // each)))):
-            _round(words, t, epoch)
+            _round(words, t, epoch, files)
         t.m.thresholds = thresholds(_scores(sample.where("held"), t.m, ["label"]).select("language", F.col("logit").alias("z"), "label"))
         C.discard(words)
     C.discard(sample, own)

@@ -293,6 +293,38 @@ def test_toxicity_learns_from_every_labelled_text(spark, make_docs):
     assert (out["toxic"] == ((out["key"] >= 20_000) | (out["key"] % 2 == 1))).mean() > 0.95
 
 
+def test_toxicity_shuffles_a_row_a_file_and_not_a_part(spark, make_docs, monkeypatch):
+    """The parts of a file are summed before they are shuffled, and the outcome is the mean of what each part makes of the model."""
+    rng = random.Random(11)
+    rows = [(i, " ".join([*words(rng, 20), *(["moron"] if i % 2 else [])])) for i in range(3_000)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    by_groups, shuffled, told = C.by_groups, [], []
+
+    def counted(df, keys, *more, **named):
+        shuffled.append(df.groupBy("chunk").count().agg(F.max("count")).first()[0])
+        return by_groups(df, keys, *more, **named)
+
+    def plain(words, t, epoch, files):
+        kept, before, after = words.toPandas().sort_values("part", kind="stable"), t.copy(), []
+        for part, g in kept.groupby("part"):
+            own = t.copy()
+            ids = [np.frombuffer(x, np.int32).reshape(-1, 1 + len(toxicity.PREFIXES)) for x in g["words"]]
+            after.append((own, toxicity.pass_over(own, ids, g["label"].to_numpy(np.float64), np.random.default_rng([t.m.settings.seed, epoch, part]))))
+        told.append((len(after), files))
+        once(words, t, epoch, files)
+        n = sum(seen.astype(int) for _, seen in after)
+        mean = lambda f: f(before) + sum((f(own) - f(before)) * seen[:, None] for own, seen in after) / np.maximum(n, 1)[:, None]
+        assert np.allclose(t.m.embedding, mean(lambda x: x.m.embedding), atol=1e-5) and np.allclose(t.gain[0], mean(lambda x: x.gain[0]), atol=1e-5)
+        assert np.allclose(t.dense(), np.mean([own.dense() for own, _ in after], 0), atol=1e-5)
+
+    once = toxicity._round
+    monkeypatch.setattr(C, "by_groups", counted)
+    monkeypatch.setattr(toxicity, "_round", plain)
+    toxicity.fit(make_docs(rows), labels, settings=toxicity.Settings(part_bytes=12_000, epochs=1))
+    (parts, files), = told
+    assert parts > 30 and files == -(-parts // 4) and shuffled == [files]
+
+
 def test_thresholds_by_ranges(spark):
     rng = np.random.default_rng(3)
     z, y, g = rng.normal(0, 1, 3000).round(2), rng.integers(0, 2, 3000), rng.choice(["", "en", "de"], 3000)
